@@ -18,9 +18,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from timberline.operators.stitching import stitch
+
 MICROS = 1_000_000
 
 
@@ -117,20 +119,10 @@ def sessionize(df: DataFrame, spec: SessionSpec = SessionSpec()) -> DataFrame:
 
 
 def _stitch(parts: DataFrame, gap_us: int) -> DataFrame:
-    """Join sessions that go on across slices. Sessions inside a slice are final and pass by."""
-    cols = ("key", "first_id", "last_id", "start_us", "end_us", "n")
-    inner = parts.where(~F.col("at_head") & ~F.col("at_tail")).select(*cols)
-    w = Window.partitionBy("key").orderBy("start_us", "slice")
-    edges = parts.where(F.col("at_head") | F.col("at_tail"))
-    edges = edges.withColumn("g", F.sum(F.when(F.col("start_us") - F.lag("end_us").over(w) <= gap_us, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    joined = edges.groupBy("key", "g").agg(
-        F.min_by("first_id", F.struct("start_us", "slice")).alias("first_id"),
-        F.max_by("last_id", F.struct("start_us", "slice")).alias("last_id"),
-        F.min("start_us").alias("start_us"),
-        F.max("end_us").alias("end_us"),
-        F.sum("n").alias("n"),
-    )
-    return inner.unionByName(joined.select(*cols))
+    """Join sessions that go on across slices."""
+    at = F.struct("start_us", "slice")
+    aggs = [F.min_by("first_id", at).alias("first_id"), F.max_by("last_id", at).alias("last_id"), F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.sum("n").alias("n")]
+    return stitch(parts, ("start_us", "slice"), lambda lag: F.col("start_us") - lag("end_us") <= gap_us, aggs)
 
 
 def _named(s: DataFrame, spec: SessionSpec) -> DataFrame:
