@@ -6,16 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from timberline.plans import training
+from timberline.plans import logs, training
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return training.p1_sessions(spark, d)
+    return logs.flagship(spark, d)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(training.QUERIES)
+    return training.QUERIES | logs.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(training.ORACLE)
+    return training.ORACLE | logs.ORACLE
