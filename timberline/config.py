@@ -169,3 +169,30 @@ def read_config(path: str) -> dict:
         with open(path, encoding="utf-8") as f:
             return yaml.safe_load(f)
     raise ValueError(f"not a JSON or YAML file: {path}")
+
+
+def parameter_info(kind: type) -> dict[str, tuple[str, object]]:
+    """Names of a parameter class with type and default (None if there is none)."""
+    from dataclasses import MISSING
+
+    return {f.name: (str(f.type), f.default if f.default is not MISSING else f.default_factory() if f.default_factory is not MISSING else None) for f in fields(kind)}
+
+
+def typed_parameters(kind: type, values: dict[str, str]) -> dict:
+    """Texts of a form as values of the class's types; empty texts take the default, unknown names raise KeyError."""
+    import ast
+
+    info, out = parameter_info(kind), {}
+    for name, text in values.items():
+        if name not in info:
+            raise KeyError(name)
+        if text is None or not text.strip():
+            continue
+        if info[name][0].split("|")[0].strip() == "str":
+            out[name] = text
+        else:
+            try:
+                out[name] = ast.literal_eval(text.strip())
+            except (ValueError, SyntaxError):
+                out[name] = text
+    return out

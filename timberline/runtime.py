@@ -57,3 +57,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def package_root() -> str:
     return os.path.dirname(os.path.abspath(__file__))
+
+
+def stage(spark: SparkSession, path: str, build, reuse: bool = True) -> DataFrame:
+    """A workflow stage kept as a table: read it if it is whole at `path`, else build, write and read it."""
+    jvm = spark.sparkContext._jvm
+    done = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not (reuse and done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done)):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
