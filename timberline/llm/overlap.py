@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from timberline.llm.text import words
+from timberline.runtime import cut
 
 CELLS = 1 << 18
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -50,7 +51,8 @@ def texts_of(df: DataFrame, record_id: str, split: str, text: str, train: str, o
     m = m.select(F.col(record_id).alias("id"), F.col(split).alias("split"), words(F.col(text)).alias("w"))
     m = m.select("id", "split", F.unhex(F.md5(F.array_join("w", " "))).alias("tid"), (F.col("split") == train).alias("in_train"), F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
     texts = m.groupBy("tid").agg(F.first("h").alias("h"), F.max("in_train").alias("in_train"), F.max(~F.col("in_train")).alias("in_other"))
-    return m.select("id", "split", "tid", "in_train").dropDuplicates(["id", "split", "tid"]), texts
+    # both are used several times: written once instead of reading and cutting the texts again for each use
+    return cut(m.select("id", "split", "tid", "in_train").dropDuplicates(["id", "split", "tid"])), cut(texts)
 
 
 def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
