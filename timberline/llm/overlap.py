@@ -13,8 +13,8 @@ at `SuffixSpec.depth` words). Neighbours from different splits with a long commo
   of texts, and an exact bounded edit distance decides. Nothing is dropped: rarity only chooses among equally good segments.
 
 Scale: rarity comes from a count sketch of fixed size (2^18 counters, the only thing broadcast). Suffixes are also
-partitioned by blocks of text length and place (a train segment goes to the few blocks its partners can be in), which spreads
-out frequent beginnings. Copies never multiply the work: pairs are made of distinct texts and expanded at the very end.
+partitioned by blocks of text length and place, whose sizes follow the text's length (a train segment goes to the few blocks its
+partners can be in), which spreads out frequent beginnings. Copies never multiply the work: pairs are made of distinct texts and expanded at the very end.
 """
 
 from __future__ import annotations
@@ -83,13 +83,31 @@ def _suffixes(h: np.ndarray, at: np.ndarray, left: np.ndarray, depth: int) -> pa
     return pa.Array.from_buffers(pa.binary(), len(at), [None, offsets, pa.py_buffer(m.tobytes())])
 
 
-def _bucket(key: np.ndarray, lb: np.ndarray, pb: np.ndarray) -> np.ndarray:
+def _blocks(n: np.ndarray, spec: SuffixSpec) -> tuple[np.ndarray, np.ndarray]:
+    """Block sizes of length and place for texts of n words: of one size between powers of two, and an eighth of the text at
+    least, so that a partner's length and a segment's place fall in a few blocks whatever the length."""
+    scale = 1 << np.maximum(np.frexp(np.maximum(n, 1).astype(float))[1] - 1, 0).astype(np.int64)
+    return np.maximum(spec.length_block, scale // 8), np.maximum(spec.place_block, scale // 8)
+
+
+def _parts(b: pa.RecordBatch, most: int = 200_000) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about so many words (a longer text is a slice of its own)."""
+    upto = np.cumsum(b.column(1).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < b.num_rows:
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, "right")))
+        yield b.slice(at, to - at)
+        at = to
+
+
+def _bucket(key: np.ndarray, lb: np.ndarray, pb: np.ndarray, size: np.ndarray | int = 0) -> np.ndarray:
     with np.errstate(over="ignore"):
-        b = (key + lb.astype(np.uint64) * _M1) ^ (pb.astype(np.uint64) * _M2)
+        b = (key + lb.astype(np.uint64) * _M1) ^ ((pb.astype(np.uint64) + np.uint64(1 << 40) * np.asarray(size, np.uint64)) * _M2)
         b *= _M1
     return b.view(np.int64)
 
 
+CHUNK = 100_000  # suffixes laid out at once
 SUFFIX_SCHEMA = "bucket bigint, suffix binary, tid binary, place int, n int, slack int, need int"
 _SUFFIX_NAMES = ["bucket", "suffix", "tid", "place", "n", "slack", "need"]
 
@@ -104,17 +122,21 @@ def _all_suffixes(spec: SuffixSpec, key: int, blocks: bool, need: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for s in range(0, b.num_rows, 500):
-                part = b.slice(s, 500)
+            for part in _parts(b):
                 h, n, start = _flat(part.column(1))
                 doc = np.repeat(np.arange(len(n)), n)
                 place = np.arange(len(h)) - start[doc]
-                at = np.flatnonzero(n[doc] - place >= key)
-                if len(at):
-                    doc, place = doc[at], place[at]
+                every, keys = np.flatnonzero(n[doc] - place >= key), _mixed(h, key)
+                for c in range(0, len(every), CHUNK):
+                    at = every[c : c + CHUNK]
+                    dc, pl = doc[at], place[at]
                     z = np.zeros(len(at), np.int64)
-                    lb, pb = (n[doc] // spec.length_block, place // spec.place_block) if blocks else (z, z)
-                    yield _rows(_bucket(_mixed(h, key)[at], lb, pb), _suffixes(h, at, n[doc] - place, spec.depth), part.column(0), doc, place, n[doc], z, z + need)
+                    if blocks:
+                        lsize, psize = _blocks(n[dc], spec)
+                        bucket = _bucket(keys[at], n[dc] // lsize, pl // psize, lsize)
+                    else:
+                        bucket = _bucket(keys[at], z, z)
+                    yield _rows(bucket, _suffixes(h, at, n[dc] - pl, spec.depth), part.column(0), dc, pl, n[dc], z, z + need)
 
     return run
 
@@ -122,8 +144,8 @@ def _all_suffixes(spec: SuffixSpec, key: int, blocks: bool, need: int):
 def _sketch(spec: SuffixSpec):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = np.zeros(CELLS, np.int64)
-        for b in batches:
-            h, n, start = _flat(b.column(1))
+        for part in (p for b in batches for p in _parts(b)):
+            h, n, start = _flat(part.column(1))
             doc = np.repeat(np.arange(len(n)), n)
             at = np.flatnonzero(n[doc] - (np.arange(len(h)) - start[doc]) >= spec.key)
             c += np.bincount((_mixed(h, spec.key)[at] % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
@@ -139,8 +161,7 @@ def _rare_segments(spec: SuffixSpec, counts):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rare = counts.value
         for b in batches:
-            for s in range(0, b.num_rows, 2000):
-                part = b.slice(s, 2000)
+            for part in _parts(b):
                 h, n, start = _flat(part.column(1))
                 d = n // (spec.tenth - 1)
                 q = np.where(n // (spec.key + 1) >= d + 3, spec.key + 1, spec.key)
@@ -154,15 +175,26 @@ def _rare_segments(spec: SuffixSpec, counts):
                 rank = np.arange(len(doc)) - (np.cumsum(k) - k)[doc[order]]
                 take = order[rank <= d[doc[order]]]
                 doc, place, key = doc[take], place[take], key[take]
-                lo_n, hi_n = (n - d)[doc] // spec.length_block, (n + d)[doc] // spec.length_block
-                lo_p, hi_p = np.maximum(place - d[doc], 0) // spec.place_block, (place + d[doc]) // spec.place_block
-                wide = hi_p - lo_p + 1
-                times = (hi_n - lo_n + 1) * wide
-                r = np.repeat(np.arange(len(doc)), times)
-                i = np.arange(len(r)) - np.repeat(np.cumsum(times) - times, times)
-                lb, pb = lo_n[r] + i // wide[r], lo_p[r] + i % wide[r]
-                doc, place = doc[r], place[r]
-                yield _rows(_bucket(key[r], lb, pb), _suffixes(h, start[doc] + place, n[doc] - place, spec.depth), part.column(0), doc, place, n[doc], d[doc], q[doc])
+                # partners are of lengths n - d to n + d, which two block sizes at most share
+                sizes = [_blocks(np.maximum(n - d, 1), spec), _blocks(n + d, spec)]
+                for side in (0, 1):
+                    lsize, psize = sizes[side]
+                    own = (sizes[1][0] != sizes[0][0])[doc] if side else np.ones(len(doc), bool)
+                    for c in range(0, len(doc), CHUNK // 16):
+                        r0 = np.arange(c, min(c + CHUNK // 16, len(doc)))
+                        r0 = r0[own[r0]]
+                        t = doc[r0]
+                        lo_n, hi_n = (n - d)[t] // lsize[t], (n + d)[t] // lsize[t]
+                        lo_p, hi_p = np.maximum(place[r0] - d[t], 0) // psize[t], (place[r0] + d[t]) // psize[t]
+                        wide = hi_p - lo_p + 1
+                        times = (hi_n - lo_n + 1) * wide
+                        r = np.repeat(np.arange(len(r0)), times)
+                        if not len(r):
+                            continue
+                        i = np.arange(len(r)) - np.repeat(np.cumsum(times) - times, times)
+                        lb, pb = lo_n[r] + i // wide[r], lo_p[r] + i % wide[r]
+                        dc, pl = t[r], place[r0][r]
+                        yield _rows(_bucket(key[r0][r], lb, pb, lsize[dc]), _suffixes(h, start[dc] + pl, n[dc] - pl, spec.depth), part.column(0), dc, pl, n[dc], d[dc], q[dc])
 
     return run
 
