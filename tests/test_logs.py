@@ -106,7 +106,8 @@ def test_replacements_stand_for_themselves(spark):
 
 
 def test_q14_placeholders_share_spaces(spark):
-    assert col(spark, "a INT  INT / INT b", lambda c: T.collapse_placeholders(c, [" INT "])) == "a INT / INT b"
+    for t in ("a INT  INT / INT b", "a INT / INT b", " INT  INT  INT "):
+        assert col(spark, t, lambda c: T.collapse_placeholders(c, [" INT "])) == re.sub("(( INT )[ /=]*)+", " INT ", t)
 
 
 def test_camel_digits_tokens(spark):
@@ -440,8 +441,9 @@ def test_dbscan_equals_the_plain_method(spark):
 def test_detectors_flag_planted_outliers(spark, algo):
     df = blobs(spark, extra=[(60.0, -70.0)]) if algo != "one_class_svm" else spark.createDataFrame([(i, [5.0 + 0.01 * (i % 9), 5.0]) for i in range(80)] + [(80, [-9.0, -9.0])], VEC)
     run = detect.VECTORS[algo]
-    got = {r._id: (r.anom_score, r.trainval) for r in (run(df, nu=0.05) if algo == "one_class_svm" else run(df)).collect()}
-    assert got[80] == (-1, False) and sum(v[0] == -1 for v in got.values()) <= 12
+    got = {r._id: r for r in (run(df, nu=0.05) if algo == "one_class_svm" else run(df)).collect()}
+    assert (got[80].anom_score, got[80].trainval) == (-1, False) and min(got.values(), key=lambda r: r.raw_score)._id == 80
+    assert sum(r.anom_score == -1 for r in got.values()) <= 20
     with pytest.raises(ValueError):
         run(df.limit(0))
 

@@ -42,17 +42,19 @@ def _scored(df: DataFrame, vector: str, row_id: str, score, chunk: int = 2000) -
 
 
 def one_class_svm(df: DataFrame, vector: str = "features", row_id: str = "_id", nu: float = 0.5, max_rows: int = 5000, rounds: int = 300) -> DataFrame:
-    """Linear one-class machine by averaged sub-gradient steps on at most `max_rows` sampled vectors. raw = w.x - rho."""
+    """Linear one-class machine on at most `max_rows` sampled vectors. raw = w.x - rho.
+
+    The dual (the shortest combination of vectors with weights of at most 1 / (nu n)) by conditional gradient steps: each step
+    moves towards the combination of the vectors with the least margins.
+    """
     x = _sample(df, vector, row_id, max_rows)
-    w, avg = x.mean(axis=0), np.zeros(x.shape[1])
-    for t in range(1, rounds + 1):
-        m = x @ w
-        rho = np.quantile(m, nu)  # the best offset for these weights
-        below = m < rho
-        w = w - (w - x[below].sum(axis=0) / (nu * len(x))) / t
-        avg += (w - avg) / t
-    rho = float(np.quantile(x @ avg, nu))
-    return _scored(df, vector, row_id, lambda y: y @ avg - rho + 1e-12)
+    w, most = x.mean(axis=0), 1.0 / (nu * len(x))
+    for t in range(rounds):
+        order = np.argsort(x @ w, kind="stable")
+        alpha = np.clip(1.0 - most * np.arange(len(x)), 0.0, most)
+        w = w + (alpha @ x[order] - w) * 2.0 / (t + 2.0)
+    rho = float(np.quantile(x @ w, nu))
+    return _scored(df, vector, row_id, lambda y: y @ w - rho + 1e-9 * max(1.0, abs(rho)))
 
 
 def _c(n: float) -> float:

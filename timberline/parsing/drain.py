@@ -100,7 +100,7 @@ class TokenCountTree:
             c.template = [a if a == b else self.p.param_str for a, b in zip(c.template, toks)]
             c.size += 1
         else:
-            c = Cluster(self.made, list(toks))
+            c = Cluster(self.made, list(toks), used=self.clock)
             self.made += 1
             self.live[c.number] = c
             node = self.grow(toks)
