@@ -178,3 +178,51 @@ def empty_steps(rows):
         if a is not None and i is not None and t is not None and c is not None and c >= 0:
             by[a, i].add(micros(t) // 10**6 // 900)
     return {(a, i, b * 900) for (a, i), s in by.items() for b in range(min(s), max(s)) if b not in s}
+
+
+def drain(texts, depth, sim_th, max_children, wild="*"):
+    """Templates of lines, from the rules of the prefix-tree parser, with plain lists and dicts; all lines in one run."""
+    root, where = {}, []
+
+    def score(template, toks, params):
+        same = sum(a == b and a != wild for a, b in zip(template, toks))
+        stars = sum(a == wild for a in template)
+        return ((same + (stars if params else 0)) / len(toks) if toks else 1.0, stars)
+
+    def leaf(toks):
+        node = root.get(len(toks))
+        for t in toks[: min(depth - 3, len(toks) - 1) if toks else 0]:
+            if node is None:
+                return None
+            node = node.get(t, node.get(wild))
+        return node
+
+    def best(toks, params):
+        node, top = leaf(toks), None
+        for c in (node or {}).get(None, []):
+            s = score(c, toks, params)
+            if top is None or s > top[0]:
+                top = (s, c)
+        return top
+
+    for text in texts:
+        toks = text.split()
+        top = best(toks, False)
+        if top and top[0][0] >= sim_th:
+            top[1][:] = [a if a == b else wild for a, b in zip(top[1], toks)]
+            where.append(top[1])
+            continue
+        node = root.setdefault(len(toks), {})
+        for t in toks[: min(depth - 3, len(toks) - 1) if toks else 0]:
+            if t not in node:
+                free = max_children - len(node)  # rooms left; the last one is kept for the wildcard
+                if re.search(r"\d", t) or (wild in node and free <= 0) or (wild not in node and free <= 1):
+                    t = wild
+            node = node.setdefault(t, {})
+        node.setdefault(None, []).append(list(toks))
+        where.append(node[None][-1])
+    out = []
+    for text, c in zip(texts, where):
+        top = best(text.split(), True)
+        out.append(" ".join(top[1] if top and top[0][0] >= 1 else c))
+    return out

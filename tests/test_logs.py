@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tests import brute
 from timberline.config import Config, DataLoaderConfig, OpenSetADWorkflowConfig, PreprocessorConfig, WorkFlowConfig, read_config
 from timberline.functions import text as T
 from timberline.functions.timebuckets import bucket_start, datetime_pattern, parse_time, width_micros
@@ -260,22 +261,13 @@ def lines(spark, texts):
     return spark.createDataFrame(list(enumerate(texts)), "_id bigint, logline string")
 
 
-def sequential_drain(texts, p):
-    """One tree per token count, line after line."""
-    trees, fitted = {}, []
-    for t in texts:
-        w = t.split()
-        fitted.append(trees.setdefault(len(w), TokenCountTree(len(w), p)).fit(w))
-    return [" ".join((trees[len(t.split())].match(t.split()) or c).template) for t, c in zip(texts, fitted)]
-
-
 @pytest.mark.parametrize("depth", [3, 4, 5])
 def test_drain_equals_the_sequential_run(spark, depth):
     rng = random.Random(depth)
     texts = [" ".join(rng.choice(("a", "b", "c1", "dd", "7")) for _ in range(rng.randrange(0, 6))) for _ in range(400)]
     p = DrainParams(depth=depth, max_children=3)
     got = [r.parsed_logline for r in drain(lines(spark, texts), p, split_lines=20).orderBy("_id").collect()]
-    assert got == sequential_drain(texts, p)
+    assert got == brute.drain(texts, depth, p.sim_th, p.max_children)
     for t, g in zip(texts, got):
         assert len(g.split()) == len(t.split())
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from timberline.apps.summarize import parsed
 from timberline.config import OpenSetADWorkflowConfig, OpenSetPartitionerConfig, PreprocessorConfig
-from timberline.operators.clean import BGL_RULES, HDFS_RULES, clean_bgl, clean_hdfs, clean_thunderbird
+from timberline.operators.clean import BGL_RULES, HDFS_RULES, THUNDERBIRD_RULES, clean_bgl, clean_hdfs, clean_thunderbird
 from timberline.operators.counters import dedup_with_counts
 from timberline.operators.evaluate import binary_metrics
 from timberline.operators.splits import span_split, unsupervised_split
@@ -59,7 +59,7 @@ class OpenSetWorkflow:
         c = self.config
         record = record or load(spark, c.data_loader_config)
         name = (c.dataset_name or "").lower()
-        rules = c.preprocessor_config or (HDFS_RULES if name == "hdfs" else BGL_RULES if name in ("bgl", "thunderbird") else PreprocessorConfig())
+        rules = c.preprocessor_config or {"hdfs": HDFS_RULES, "bgl": BGL_RULES, "thunderbird": THUNDERBIRD_RULES}.get(name, PreprocessorConfig())
         df = record.dropna().df
         if name == "hdfs":
             labels = labels if labels is not None else spark.read.option("header", True).csv(c.label_filepath)

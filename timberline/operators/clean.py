@@ -12,7 +12,11 @@ from timberline.operators.windows import time_sessions
 
 #: Cleaning rules of open data sets.
 HDFS_RULES = PreprocessorConfig([":", ",", "=", "\t"], [[r"(blk_-?\d+)", " BLOCK "], [r"/?/*\d+\.\d+\.\d+\.\d+", " IP "], [r"(0x)[0-9a-zA-Z]+", " HEX "], [r"\d+", " INT "]])
-BGL_RULES = PreprocessorConfig([":", ",", "=", "\t"], [[r"(0x)[0-9a-zA-Z]+", " HEX "], [r"((?![0-9]+\b)(?!\b[a-z]+\b)[0-9a-z]+)", " ALPHANUM "], [r"\d+\.\d+\.\d+\.\d+", " IP "], [r"\d+", " INT "]])
+BGL_RULES = PreprocessorConfig([":", ",", "=", "\t"], [[r"(0x)[0-9a-zA-Z]+", " HEX "], [r"((?![A-Za-z]{8}|\d{8})[A-Za-z\d]{8})", " ALPHANUM "], [r"\d+.\d+.\d+.\d+", " IP "], [r"\d+", " INT "]])
+THUNDERBIRD_RULES = PreprocessorConfig(
+    [":", ",", "=", "\t"],
+    [[r"(/[a-zA-Z0-9\-\_\./]*[\s]?)", " FILE "], [r"\d+.\d+.\d+.\d+", " IP "], [r"(0x)[0-9a-zA-Z]+", " HEX "], [r"((?![A-Za-z]{8}|\d{8})[A-Za-z\d]{8})", " ALPHANUM "], [r"\d+", " INT "], [r"Warning: we failed to resolve data source name [\w\s]+", " WARNING "]],
+)
 
 
 def clean(df: DataFrame, config: PreprocessorConfig, text: str = "logline", terms: bool = True) -> DataFrame:
@@ -50,6 +54,6 @@ def clean_bgl(df: DataFrame, config: PreprocessorConfig = BGL_RULES, text: str =
     return d.withColumn(label, binary_label(F.col(label)))
 
 
-def clean_thunderbird(df: DataFrame, config: PreprocessorConfig = BGL_RULES, text: str = "logline", label: str = "labels") -> DataFrame:
+def clean_thunderbird(df: DataFrame, config: PreprocessorConfig = THUNDERBIRD_RULES, text: str = "logline", label: str = "labels") -> DataFrame:
     """Cleaned lines; the span is kept, labels 0 for '-' and else 1."""
     return clean_open_set(df, config, text).withColumn(label, binary_label(F.col(label)))

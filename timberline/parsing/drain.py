@@ -9,8 +9,9 @@ over many tasks (each gets that count's templates).
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,10 +43,30 @@ class Cluster:
     used: int = 0
 
 
-@dataclass
 class Node:
-    children: dict[str, "Node"] = field(default_factory=dict)
-    clusters: list[Cluster] = field(default_factory=list)
+    """A node of the tree. A leaf holds its clusters' templates as rows of token hashes, so that a line meets all of them in
+    one array comparison."""
+
+    def __init__(self):
+        self.children: dict[str, Node] = {}
+        self.clusters: list[Cluster] = []
+        self.rows: np.ndarray | None = None
+
+    def put(self, c: Cluster, row: np.ndarray) -> None:
+        k = len(self.clusters)
+        if self.rows is None or k == len(self.rows):
+            more = np.zeros((max(8, 2 * k), len(row)), np.int64)
+            if k:
+                more[:k] = self.rows
+            self.rows = more
+        self.rows[k] = row
+        self.clusters.append(c)
+
+    def keep(self, live: dict[int, Cluster]) -> None:
+        if self.rows is not None and any(c.number not in live for c in self.clusters):
+            at = [i for i, c in enumerate(self.clusters) if c.number in live]
+            self.rows = self.rows[at] if at else None
+            self.clusters = [self.clusters[i] for i in at]
 
 
 class TokenCountTree:
@@ -55,6 +76,7 @@ class TokenCountTree:
         self.n, self.p, self.root, self.clock, self.made = n, p, Node(), 0, 0
         self.levels = min(p.depth - 3, max(n - 1, 0))  # tokens that lead to a leaf
         self.live: dict[int, Cluster] = {}
+        self.wild = hash(p.param_str)
 
     def leaf(self, toks: list[str]) -> Node | None:
         node = self.root
@@ -77,42 +99,75 @@ class TokenCountTree:
             node = node.children[t]
         return node
 
-    def best(self, node: Node | None, toks: list[str], params_count: bool) -> tuple[Cluster | None, float]:
-        top, found = (-1.0, -1), None
-        for c in node.clusters if node else ():
-            if c.number not in self.live:
-                continue
-            same = wild = 0
-            for a, b in zip(c.template, toks):
-                if a == self.p.param_str:
-                    wild += 1
-                elif a == b:
-                    same += 1
-            score = ((same + (wild if params_count else 0)) / self.n if self.n else 1.0, wild)
-            if score > top:
-                top, found = score, c
-        return found, top[0]
+    def hashes(self, toks: list[str]) -> np.ndarray:
+        return np.fromiter(map(hash, toks), np.int64, len(toks))
+
+    def best(self, node: Node | None, row: np.ndarray, params_count: bool) -> tuple[int, float]:
+        """Place of the most similar cluster in the leaf (ties: more wildcards, then the earlier) and its similarity."""
+        if node is None or not node.clusters:
+            return -1, -1.0
+        if not self.n:
+            return 0, 1.0
+        rows = node.rows[: len(node.clusters)]
+        wild = rows == self.wild
+        wilds = wild.sum(axis=1)
+        same = ((rows == row) & ~wild).sum(axis=1) + (wilds if params_count else 0)
+        i = int((same * (self.n + 1) + wilds).argmax())
+        return i, float(same[i]) / self.n
 
     def fit(self, toks: list[str]) -> Cluster:
         self.clock += 1
-        c, score = self.best(self.leaf(toks), toks, False)
-        if c is not None and score >= self.p.sim_th:
-            c.template = [a if a == b else self.p.param_str for a, b in zip(c.template, toks)]
+        row, node = self.hashes(toks), self.leaf(toks)
+        i, score = self.best(node, row, False)
+        if i >= 0 and score >= self.p.sim_th:
+            c = node.clusters[i]
+            for k in np.flatnonzero((node.rows[i] != row) & (node.rows[i] != self.wild)).tolist():
+                c.template[k] = self.p.param_str
+                node.rows[i, k] = self.wild
             c.size += 1
         else:
-            c = Cluster(self.made, list(toks), used=self.clock)
+            c = Cluster(self.made, list(toks))
             self.made += 1
             self.live[c.number] = c
-            node = self.grow(toks)
-            node.clusters = [x for x in node.clusters if x.number in self.live] + [c]
+            self.grow(toks).put(c, row)
             if self.p.max_clusters and len(self.live) > self.p.max_clusters:
-                del self.live[min(self.live.values(), key=lambda x: x.used).number]
+                old = min((x for x in self.live.values() if x is not c), key=lambda x: x.used)
+                del self.live[old.number]
+                self._purge(self.root)
         c.used = self.clock
         return c
 
-    def match(self, toks: list[str]) -> Cluster | None:
-        c, score = self.best(self.leaf(toks), toks, True)
-        return c if c is not None and score >= 1.0 else None
+    def _purge(self, node: Node) -> None:
+        node.keep(self.live)
+        for x in node.children.values():
+            self._purge(x)
+
+    def place(self, number: int, first: list[str], template: list[str]) -> Cluster:
+        """Put a final template where its cluster was created."""
+        c = Cluster(number, template)
+        self.live[number] = c
+        self.grow(first).put(c, self.hashes(template))
+        return c
+
+    def match_all(self, lines: list[list[str]]) -> list[Cluster | None]:
+        """The cluster each line equals everywhere but at its wildcards (ties: more wildcards, then the earlier), if any."""
+        by_leaf: dict[int, tuple[Node, list[int]]] = {}
+        for k, toks in enumerate(lines):
+            if (node := self.leaf(toks)) is not None and node.clusters:
+                by_leaf.setdefault(id(node), (node, []))[1].append(k)
+        out: list[Cluster | None] = [None] * len(lines)
+        for node, at in by_leaf.values():
+            rows = node.rows[: len(node.clusters)]
+            wild = rows == self.wild
+            mine = np.array([self.hashes(lines[k]) for k in at]).reshape(len(at), self.n)
+            equal = np.ones((len(at), len(rows)), bool)
+            for place in range(self.n):
+                equal &= (rows[None, :, place] == mine[:, None, place]) | wild[None, :, place]
+            best = np.where(equal, wild.sum(axis=1)[None, :], -1).argmax(axis=1)
+            for k, b, hit in zip(at, best.tolist(), equal.any(axis=1).tolist()):
+                if hit:
+                    out[k] = node.clusters[b]
+        return out
 
 
 def _fit(p: DrainParams):
@@ -149,17 +204,24 @@ def _match(p: DrainParams):
         key = tree = None
         by_number: dict[int, Cluster] = {}
         for b in batches:
-            out = []
+            out, held = [], []
+
+            def settle() -> None:
+                for start in range(0, len(held), 2000):
+                    part = held[start : start + 2000]
+                    for (i, line, number, _), c in zip(part, tree.match_all([x[3] for x in part])):
+                        out.append((i, line, " ".join((c or by_number[number]).template)))
+                held.clear()
+
             for n, salt, i, number, first, template, line, toks in zip(*(b[c].tolist() for c in ("n", "salt", "id", "number", "first", "template", "line", "toks"))):
                 if (n, salt) != key:
+                    settle()
                     key, tree, by_number = (n, salt), TokenCountTree(n, p), {}
                 if template is not None:
-                    c = Cluster(number, list(template))
-                    by_number[number] = tree.live[number] = c
-                    tree.grow(list(first)).clusters.append(c)
-                    continue
-                c = tree.match(list(toks)) or by_number[number]
-                out.append((i, line, " ".join(c.template)))
+                    by_number[number] = tree.place(number, list(first), list(template))
+                else:
+                    held.append((i, line, number, list(toks)))
+            settle()
             yield pd.DataFrame(out, columns=["id", "line", "template"])
 
     return run

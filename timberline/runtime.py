@@ -25,10 +25,21 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **conf: st
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    reach(spark)
     return spark
 
 
+def reach(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it, whatever their working directory. Clusters whose
+    machines don't share that path ship the package with --py-files."""
+    root, env = os.path.dirname(package_root()), spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    reach(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
