@@ -108,6 +108,8 @@ def test_entries_edge_cases(spark):
     ]
     df = spark.createDataFrame(rows, "line_id bigint, file_name string, line_no bigint, raw_text string")
     out = {(r.first_line_id, r.last_line_id, r.severity_text, r.component, r.n_lines, r.message[:5]) for r in log_entries(df, lay, block_lines=2).collect()}
+    times = {r.first_line_id: r.ts for r in log_entries(df, lay).collect()}
+    assert times == {2: datetime(2024, 1, 1, 0, 0, 1), 6: None, 8: datetime(2024, 2, 1, 3, 4, 5)}
     assert out == {(2, 5, "WARN", "comp.A", 4, "m1\n\n>"), (6, 7, "", "k", 2, "hi\n{"), (8, 8, "info", "c/D", 1, "text")}
     assert log_entries(df.limit(0), lay).count() == 0
 

@@ -17,6 +17,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from timberline.operators.instants import assemble, decompose
+
 # What each strptime directive may match in a header.
 DIRECTIVE = {
     "%Y": r"\d{4}",
@@ -51,6 +53,7 @@ class Layout:
     pattern: str
     fields: tuple[str, ...]
     json_keys: dict = field(default_factory=dict)  # field -> key, for layouts that are JSON objects
+    time_groups: tuple[int, ...] = ()  # groups that make up the time
 
     def group(self, name: str) -> int | None:
         return self.fields.index(name) + 1 if name in self.fields else None
@@ -113,13 +116,13 @@ def compile_layout(name: str, log_format: str, datetime_format: str) -> Layout:
     # an empty message may have lost the white space before it
     p = re.sub(r"\\s\+\(\.\*\)$", r"(?:\\s+(.*))?", p)
     p = re.sub(r'"\(\.\*\??\)"$', r'"(.*?)"?\\s*$', p)
-    return Layout(name, "(?s)" + p, tuple(fields))
+    return Layout(name, "(?s)" + p, tuple(fields), {}, tuple(i + 1 for i in sorted(spec)) or tuple(i + 1 for i in times))
 
 
 #: Layouts found in the collected text that no reader setting lists.
 EXTRA_LAYOUTS = (
     Layout("braces", r"(?s)^(\{\s*\".*\})\s*$", ("object",), {"severity": "lvl", "component": "mod", "message": "msg", "time": "time"}),
-    Layout("semicolons", r"(?s)^([A-Za-z]+):\s+(\d{2}\.\d{2}\.\d{4}\s+\d{2}:\d{2}:\d{2});\s+([^;\s]+);(?:\s+(.*))?", ("severity", "time", "component", "message")),
+    Layout("semicolons", r"(?s)^([A-Za-z]+):\s+(\d{2}\.\d{2}\.\d{4}\s+\d{2}:\d{2}:\d{2});\s+([^;\s]+);(?:\s+(.*))?", ("severity", "time", "component", "message"), {}, (2,)),
 )
 
 
@@ -144,7 +147,7 @@ def parse_header(text: Column, layouts: list[Layout]) -> Column:
             hit = text.startswith("{") & text.rlike(lay.pattern) & get["time"].isNotNull() & get["component"].isNotNull()
         else:
             get = {f: F.regexp_extract(text, lay.pattern, i + 1) for i, f in enumerate(lay.fields)}
-            get["time"] = F.concat_ws(" ", *[get[f] for f in lay.fields if f in TIME_FIELDS])
+            get["time"] = F.concat_ws(" ", *[F.regexp_extract(text, lay.pattern, g) for g in lay.time_groups])
             hit = text.rlike(lay.pattern)
         s = F.struct(
             F.lit(lay.name).alias("layout"),
@@ -158,12 +161,14 @@ def parse_header(text: Column, layouts: list[Layout]) -> Column:
 
 
 def log_entries(lines: DataFrame, layouts: list[Layout], line_id: str = "line_id", file: str = "file_name", line_no: str = "line_no", text: str = "raw_text", with_message: bool = True, block_lines: int = 4096) -> DataFrame:
-    """One row per entry: file, first_line_id, last_line_id, n_lines, layout, time, severity_text, component[, message].
+    """One row per entry: file, first_line_id, last_line_id, layout, time (as written), severity_text, component[, n_lines,
+    message, ts].
 
     An entry begins with a header at the first column (a byte-order mark aside) and runs to the line before the file's next
     header. Lines before a file's first header belong to none. Null text is a blank line; repeated rows (same file and
     line number) count once; rows without file or line number take no part. The message is the header's message and the
-    following lines as they are, joined by newlines, white space at the end removed. An empty table gives no rows.
+    following lines as they are, joined by newlines, white space at the end removed. ts is the time as UTC (a time without zone is read as UTC, one without a year
+is null). An empty table gives no rows.
     """
     raw = F.regexp_replace(F.col(text), f"^{BOM}", "")
     e = lines.select(F.col(line_id).alias("id"), F.col(file).alias("f"), F.col(line_no).cast("bigint").alias("no"), F.col(text).alias("raw"), raw.alias("t"))
@@ -189,4 +194,9 @@ def log_entries(lines: DataFrame, layouts: list[Layout], line_id: str = "line_id
     if with_message:
         body = F.array_join(F.concat(F.array(F.col("h.message")), F.transform("tail", lambda x: x["x"])), "\n")
         out += ["n_lines", F.regexp_replace(body, r"\s+$", "").alias("message")]
-    return g.select(*out)
+    g = g.select(*out)
+    if not with_message:
+        return g
+    blank = {"zone": F.lit(None).cast("string"), "fmt": F.lit(None).cast("string"), "at": F.lit(None).cast("timestamp")}
+    t = assemble(decompose(g.withColumns(blank), "time", keep_all=True), "zone", "fmt", "at", F.lit(None).cast("map<string,int>"), "us")
+    return t.select(*g.columns, F.timestamp_micros("us").cast("timestamp_ntz").alias("ts"))

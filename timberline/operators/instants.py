@@ -37,6 +37,7 @@ BRANCHES = (
     r"(?:[A-Za-z]{3,9},?\s+)?(?<d{k}>\d{1,2})\s+(?<B{k}>" + _MON + r")\s+(?<Y{k}>\d{4})\s+" + _HMS + r"(?:" + _ZONE + r")?",
     r"(?<B{k}>" + _MON + r")\s+(?<d{k}>\d{1,2}),?\s+(?<Y{k}>\d{4})\s+" + _HMS + r"(?:\s*(?<P{k}>[AaPp][Mm]))?",
     r"(?<B{k}>" + _MON + r")\s+(?<d{k}>\d{1,2})\s+" + _HMS + _FRAC,
+    r"(?<d{k}>\d{1,2})\.(?<m{k}>\d{1,2})\.(?<Y{k}>\d{4})\s+" + _HMS + _FRAC,
     r"(?<E{k}>\d{10})(?:\.(?<e{k}>\d{1,9}))?",
     r"(?<E{k}>\d{13}|\d{14}|\d{16}|\d{19})",
 )
@@ -117,14 +118,15 @@ def _column(part: str) -> str:
     return f"w_{part}" if part.isupper() else f"v_{part}"  # column names are case-insensitive
 
 
-def decompose(df: DataFrame, text: str) -> DataFrame:
+def decompose(df: DataFrame, text: str, keep_all: bool = False) -> DataFrame:
     """Extract the components of a text once: one string column per part, null where the notation has none.
 
-    Rows whose text has no digit name no time and are left out.
+    Rows whose text has no digit name no time and are left out, unless all are to be kept.
     """
     pattern, layout = alternation()
     # the layout begins with a separator, so a text that isn't matched has an element 0 only
-    df = df.where(F.col(text).rlike(r"\d")).withColumn("w_all", F.split(F.regexp_replace(text, pattern, SEP + layout), SEP, -1))
+    df = df if keep_all else df.where(F.col(text).rlike(r"\d"))
+    df = df.withColumn("w_all", F.split(F.regexp_replace(text, pattern, SEP + layout), SEP, -1))
     return df.withColumns({_column(p): F.nullif(F.get("w_all", F.lit(i + 1)), F.lit("")) for i, p in enumerate(PARTS)}).drop("w_all")
 
 
