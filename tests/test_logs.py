@@ -371,6 +371,12 @@ def test_vectors(spark):
     assert vectorize.token_ids(lines(spark, ["a a b", ""]), max_vocab_size=1).orderBy("_id").first().ids == [2, 5, 5, 1, 3]
 
 
+def test_sequences_keep_all_their_lines_unless_a_length_is_asked_for(spark):
+    many = [f"l{i:02d}" for i in range(25)]
+    seq = vectorize.sequential(lines(spark, ["[SEP]".join(many), "l03"]), vectorize.line_vocabulary(lines(spark, many)))
+    assert {r._id: r.ids for r in seq.collect()} == {0: list(range(2, 27)), 1: [5]}
+
+
 # --- clusters and detectors
 
 VEC = "_id bigint, features array<double>"

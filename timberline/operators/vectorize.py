@@ -92,8 +92,10 @@ def _ids(df: DataFrame, pieces: Column, vocabulary: DataFrame, row_id: str, leng
     return df.select(row_id).join(g, row_id, "left").select(row_id, (pad(a, length, F.lit(0).cast("bigint")) if length else a).alias("ids"))
 
 
-def sequential(df: DataFrame, vocabulary: DataFrame, text: str = "logline", row_id: str = "_id", sep_token: str | None = "[SEP]", max_token_len: int | None = 10) -> DataFrame:
-    """Row id and `ids` of the lines of a sequence: unknown lines 1, filled with 0 to the length. Null text is an empty sequence."""
+def sequential(df: DataFrame, vocabulary: DataFrame, text: str = "logline", row_id: str = "_id", sep_token: str | None = "[SEP]", max_token_len: int | None = None) -> DataFrame:
+    """Row id and `ids` of the lines of a sequence: unknown lines 1. Null text is an empty sequence.
+
+    All lines have their id, unless the caller asks for a length: sequences are then cut, or filled with 0, to it."""
     src = F.coalesce(F.col(text), F.lit(""))
     pieces = F.transform(F.split(src, _quoted(sep_token)), lambda x: F.trim(x)) if sep_token else F.array(F.trim(src))
     return _ids(df, pieces, vocabulary, row_id, max_token_len)

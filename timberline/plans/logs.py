@@ -440,6 +440,17 @@ def line_vocabulary(spark, d):
     a as (select seq_id, list(id order by i) as ids from j group by seq_id) select seq_id as _id, array_to_string(list_resize(ids, 10, 0), ',') as ids from a"""
 )
 def sequential_ids(spark, d):
+    s = read(spark, d, "log_sequences").where("logline is not null").select(F.col("seq_id").alias("_id"), "logline")
+    return vectorize.sequential(s, vectorize.line_vocabulary(records(spark, d)), max_token_len=10).select("_id", F.array_join("ids", ",").alias("ids"))
+
+
+@query(
+    """with s as (select seq_id, string_split(logline, '[SEP]') as p from log_sequences where logline is not null),
+    v as (select token, row_number() over (order by token) + 1 as id from (select distinct trim(logline) as token from log_records where logline is not null)),
+    t as (select seq_id, unnest(p) as x, generate_subscripts(p, 1) as i from s), j as (select seq_id, i, coalesce(v.id, 1) as id from t left join v on trim(t.x) = v.token)
+    select seq_id as _id, array_to_string(list(id order by i), ',') as ids from j group by seq_id"""
+)
+def whole_sequential_ids(spark, d):
     s = read(spark, d, "log_sequences").where("logline is not null").select(F.col("seq_id").alias("_id"), "logline")
     return vectorize.sequential(s, vectorize.line_vocabulary(records(spark, d))).select("_id", F.array_join("ids", ",").alias("ids"))
 
