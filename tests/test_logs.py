@@ -446,6 +446,30 @@ def test_detectors_flag_planted_outliers(spark, algo):
         run(df.limit(0))
 
 
+def plain_factors(x, k):
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    other = d.copy()
+    np.fill_diagonal(other, np.inf)
+    near = np.argsort(other, axis=1, kind="stable")[:, :k]
+    kd = np.take_along_axis(other, near[:, -1:], 1)[:, 0]
+    density = lambda nb: 1 / np.maximum(np.maximum(np.take_along_axis(d, nb, 1), kd[nb]).mean(axis=1), 1e-10)
+    lrd, with_self = density(near), np.argsort(d, axis=1, kind="stable")[:, :k]
+    return lrd[with_self].mean(axis=1) / density(with_self)
+
+
+def test_local_outlier_factor_has_all_rows_as_neighbours(spark):
+    # a dense cluster of 25 beside a wide one: a sample of every second row leaves it without 20 neighbours of its own
+    rng = np.random.default_rng(5)
+    x = np.concatenate((rng.normal(0, 1, (3200, 3)), 30 + rng.normal(0, 0.01, (25, 3)), rng.normal(0, 1, (3, 3)).repeat(12, axis=0), [[9.0, -9.0, 9.0]]))
+    df = spark.createDataFrame([(i, list(map(float, p))) for i, p in enumerate(x)], VEC)
+    got = {r._id: r for r in detect.local_outlier_factor(df, block=1000).collect()}
+    want = 1.5 - plain_factors(x, 20)
+    assert len(got) == len(x) and np.allclose([got[i].raw_score for i in range(len(x))], want, atol=1e-6)
+    assert all(got[i].anom_score == 1 for i in range(3200, 3225)) and got[len(x) - 1].anom_score == -1
+    one = detect.local_outlier_factor(df.limit(1)).first()
+    assert (one.anom_score, one.trainval) == (1, False)
+
+
 def series(spark, values, key="k"):
     return spark.createDataFrame([(key, T0 + timedelta(hours=i), v) for i, v in enumerate(values)], "k string, timestamp timestamp_ntz, counts bigint")
 

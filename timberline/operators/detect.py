@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from timberline.functions.timebuckets import width_micros
+from timberline.operators.positions import with_position
+from timberline.runtime import cut, shuffle_partitions
 
 MIN_SERIES = 10  # shorter series score zero
 
@@ -102,27 +104,96 @@ def isolation_forest(df: DataFrame, vector: str = "features", row_id: str = "_id
     return _scored(df, vector, row_id, lambda y: bar - score(y) if psi > 1 else np.zeros(len(y)))
 
 
-def local_outlier_factor(df: DataFrame, vector: str = "features", row_id: str = "_id", n_neighbors: int = 20, max_rows: int = 3000, bar: float = 1.5) -> DataFrame:
-    """Novelty mode: each row against at most `max_rows` sampled vectors; raw = bar - factor."""
-    x = _sample(df, vector, row_id, max_rows)
-    k = max(1, min(n_neighbors, len(x) - 1))
+def _least(d: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k least values of each row, in their order; ties from the left."""
+    if d.shape[1] <= k:
+        return np.argsort(d, axis=1, kind="stable")
+    at = np.sort(np.argpartition(d, k - 1, axis=1)[:, :k], axis=1)
+    kept = np.take_along_axis(d, at, 1)
+    tied = (d <= kept.max(axis=1)[:, None]).sum(axis=1) > k
+    at = np.take_along_axis(at, np.argsort(kept, axis=1, kind="stable"), 1)
+    at[tied] = np.argsort(d[tied], axis=1, kind="stable")[:, :k]
+    return at
 
-    def distances(y: np.ndarray) -> np.ndarray:
-        return np.sqrt(np.maximum((y * y).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * y @ x.T, 0))
 
-    d = distances(x)
-    np.fill_diagonal(d, np.inf)
-    near = np.argsort(d, axis=1, kind="stable")[:, :k]
-    kdist = np.take_along_axis(d, near[:, -1:], 1)[:, 0] if len(x) > 1 else np.zeros(1)
-    lrd = 1 / np.maximum(np.maximum(np.take_along_axis(d, near, 1), kdist[near]).mean(axis=1), 1e-10) if len(x) > 1 else np.ones(1)
+class _Nearest:
+    """A block of points and, of all points it has met, the k nearest to each, itself left out."""
 
-    def score(y: np.ndarray) -> np.ndarray:
-        e = distances(y)
-        nb = np.argsort(e, axis=1, kind="stable")[:, :k]
-        own = 1 / np.maximum(np.maximum(np.take_along_axis(e, nb, 1), kdist[nb]).mean(axis=1), 1e-10)
-        return bar - lrd[nb].mean(axis=1) / own
+    def __init__(self, k: int):
+        self.k, self.mine, self.d = k, [], None
+
+    def add(self, p: np.ndarray, w: np.ndarray, v: np.ndarray) -> None:
+        self.mine.append((p, w, v))
+
+    def meet(self, q: np.ndarray, w: np.ndarray, y: np.ndarray) -> None:
+        if self.d is None:
+            self.p, self.w, self.x = (np.concatenate(c) for c in zip(*self.mine))
+            self.d, self.q, self.m = np.zeros((len(self.p), 0)), np.zeros((len(self.p), 0), int), np.zeros((len(self.p), 0), int)
+        d = np.sqrt(np.maximum((self.x * self.x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * self.x @ y.T, 0))
+        self_ = self.p[:, None] == q[None]
+        d = np.hstack((self.d, np.where(self_, np.inf, d)))
+        q = np.hstack((self.q, np.where(self_, -1, q[None])))
+        m = np.hstack((self.m, np.where(self_, 0, w[None])))
+        at = _least(d, self.k)
+        self.d, self.q, self.m = (np.take_along_axis(c, at, 1) for c in (d, q, m))
+
+    def rows(self) -> pd.DataFrame:
+        """p, its neighbour q at distance d, and how often q counts among p's k neighbours without (fit) and with p itself (used)."""
+        one = lambda c: np.asarray(c)[:, None]
+        d, q = np.hstack((np.zeros((len(self.p), 1)), self.d)), np.hstack((one(self.p), self.q))
+
+        def taken(own: np.ndarray) -> np.ndarray:
+            m = np.hstack((one(own), self.m))
+            return np.clip(self.k - (m.cumsum(axis=1) - m), 0, m)
+
+        fit, used = taken(self.w - 1), taken(self.w)
+        on = (fit > 0) | (used > 0)
+        return pd.DataFrame({"p": np.broadcast_to(one(self.p), q.shape)[on], "q": q[on], "d": d[on], "fit": fit[on], "used": used[on]})
 
-    return _scored(df, vector, row_id, score, chunk=500)
+
+def local_outlier_factor(df: DataFrame, vector: str = "features", row_id: str = "_id", n_neighbors: int = 20, bar: float = 1.5, block: int = 2000) -> DataFrame:
+    """Novelty mode: each row against all rows; raw = bar - factor.
+
+    Equal vectors are one point with a weight. Each block of points is met by all points, some at a time, and keeps the nearest of
+    each; the densities come from joins of these lists. The work grows with the square of the number of distinct vectors, the
+    memory of a task doesn't. Rows with null vector have no score; no rows: ValueError.
+    """
+    d = df.where(F.col(vector).isNotNull()).select(row_id, F.col(vector).cast("array<double>").alias("v"))
+    n = d.count()
+    if not n:
+        raise ValueError("no vectors to fit")
+    k = max(1, min(n_neighbors, n - 1))
+    pts = d.groupBy("v").agg(F.count("*").cast("bigint").alias("w"), F.min(row_id).alias("i"))
+    pts = cut(with_position(pts, ["i"], "p").select("p", "w", "v", F.floor(F.col("p") / block).cast("int").alias("b")))
+    blocks = int(pts.agg(F.max("b")).first()[0]) + 1
+    every = pts.withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("own", F.lit(False))
+    met = every.unionByName(pts.withColumn("to", F.col("b")).withColumn("own", F.lit(True))).drop("b")
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at = near = None
+        for batch in batches:
+            for (to, own), g in batch.groupby(["to", "own"], sort=False):
+                if to != at:
+                    if near:
+                        yield near.rows()
+                    at, near = to, _Nearest(k)
+                for s in range(0, len(g), block):
+                    part = g.iloc[s : s + block]
+                    (near.add if own else near.meet)(part["p"].to_numpy(), part["w"].to_numpy(), np.array(part["v"].tolist(), float).reshape(len(part), -1))
+        if near:
+            yield near.rows()
+
+    met = met.repartition(max(2 * blocks, shuffle_partitions(df.sparkSession)), "to").sortWithinPartitions("to", F.col("own").desc(), "p")
+    near = cut(met.mapInPandas(nearest, "p bigint, q bigint, d double, fit bigint, used bigint"))
+    far = near.groupBy("p").agg(F.coalesce(F.max(F.when(F.col("fit") > 0, F.col("d"))), F.lit(0.0)).alias("kd"))
+    near = near.join(far.withColumnRenamed("p", "q"), "q").withColumn("reach", F.greatest("d", "kd"))
+    mean = lambda count, c: F.sum(F.when(F.col(count) > 0, F.col(count) * F.col(c))) / F.lit(float(k))
+    density = lambda count: F.lit(1.0) / F.greatest(mean(count, "reach"), F.lit(1e-10))
+    lrd = near.groupBy("p").agg(F.when(F.sum("fit") > 0, density("fit")).otherwise(1.0).alias("lrd"))
+    near = near.join(lrd.withColumnRenamed("p", "q"), "q")
+    raw = near.groupBy("p").agg((F.lit(bar) - mean("used", "lrd") / density("used")).alias("raw_score"))
+    scored = d.join(pts.join(raw, "p").select("v", "raw_score"), "v")
+    return scored.select(row_id, F.when(F.col("raw_score") < 0, -1).otherwise(1).alias("anom_score"), "raw_score", F.lit(False).alias("trainval"))
 
 
 def distribution_divergence(train: DataFrame, test: DataFrame, columns: list[str], n_bins: int = 100, kinds: list[str] | str = ("KL",)) -> DataFrame:
