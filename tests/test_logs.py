@@ -470,6 +470,16 @@ def test_local_outlier_factor_has_all_rows_as_neighbours(spark):
     assert (one.anom_score, one.trainval) == (1, False)
 
 
+def test_bars_are_quantiles_of_the_scores_of_all_rows(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(3, 1, (6007, 2))
+    df = spark.createDataFrame([(i, list(map(float, p))) for i, p in enumerate(x)], VEC)
+    forest = detect.isolation_forest(df, n_estimators=20, contamination=0.1).collect()
+    assert len(forest) == 6007 and sum(r.anom_score == -1 for r in forest) == 601
+    machine = detect.one_class_svm(df, nu=0.1, rounds=20).collect()
+    assert sum(r.anom_score == -1 for r in machine) == 601
+
+
 def series(spark, values, key="k"):
     return spark.createDataFrame([(key, T0 + timedelta(hours=i), v) for i, v in enumerate(values)], "k string, timestamp timestamp_ntz, counts bigint")
 

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from timberline.functions.timebuckets import width_micros
@@ -29,22 +29,34 @@ def _sample(df: DataFrame, vector: str, row_id: str, bound: int) -> np.ndarray:
     return np.array([r["v"] for r in rows], float)
 
 
-def _scored(df: DataFrame, vector: str, row_id: str, score, chunk: int = 2000) -> DataFrame:
-    """row id, anom_score (1 inlier, -1 outlier) and raw score."""
+def _scores(df: DataFrame, vector: str, row_id: str, score, chunk: int = 2000) -> DataFrame:
+    """row id and score `s` of every row with a vector, written once."""
     d = df.where(F.col(vector).isNotNull()).select(row_id, F.col(vector).cast("array<double>").alias("v"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for s in range(0, len(b), chunk):
                 part = b.iloc[s : s + chunk]
-                raw = score(np.array(part["v"].tolist(), float).reshape(len(part), -1))
-                yield pd.DataFrame({row_id: part[row_id].to_numpy(), "anom_score": np.where(raw < 0, -1, 1), "raw_score": raw})
+                yield pd.DataFrame({row_id: part[row_id].to_numpy(), "s": score(np.array(part["v"].tolist(), float).reshape(len(part), -1))})
+
+    return cut(d.mapInPandas(run, f"{row_id} {dict(d.dtypes)[row_id]}, s double"))
+
+
+def _flagged(d: DataFrame, row_id: str, raw: Column) -> DataFrame:
+    """row id, anom_score (1 inlier, -1 outlier) and raw score."""
+    return d.select(row_id, F.when(raw < 0, -1).otherwise(1).alias("anom_score"), raw.alias("raw_score"), F.lit(False).alias("trainval"))
 
-    return d.mapInPandas(run, f"{row_id} {dict(d.dtypes)[row_id]}, anom_score int, raw_score double").withColumn("trainval", F.lit(False))
+
+def _quantile(d: DataFrame, q: float) -> float:
+    """Quantile of the scores of all rows, between the two next to it in order."""
+    at = (d.count() - 1) * q
+    lo = int(at)
+    two = [r["s"] for r in with_position(d.select("s"), ["s"]).where(F.col("pos").between(lo, lo + 1)).orderBy("pos").collect()]
+    return two[0] + (two[-1] - two[0]) * (at - lo)
 
 
 def one_class_svm(df: DataFrame, vector: str = "features", row_id: str = "_id", nu: float = 0.5, max_rows: int = 5000, rounds: int = 300) -> DataFrame:
-    """Linear one-class machine on at most `max_rows` sampled vectors. raw = w.x - rho.
+    """Linear one-class machine. raw = w.x - rho, with w from at most `max_rows` sampled vectors and rho from all rows.
 
     The dual (the shortest combination of vectors with weights of at most 1 / (nu n)) by conditional gradient steps: each step
     moves towards the combination of the vectors with the least margins.
@@ -55,53 +67,64 @@ def one_class_svm(df: DataFrame, vector: str = "features", row_id: str = "_id",
         order = np.argsort(x @ w, kind="stable")
         alpha = np.clip(1.0 - most * np.arange(len(x)), 0.0, most)
         w = w + (alpha @ x[order] - w) * 2.0 / (t + 2.0)
-    rho = float(np.quantile(x @ w, nu))
-    return _scored(df, vector, row_id, lambda y: y @ w - rho + 1e-9 * max(1.0, abs(rho)))
+    d = _scores(df, vector, row_id, lambda y: y @ w)
+    rho = _quantile(d, nu)
+    return _flagged(d, row_id, F.col("s") - F.lit(rho - 1e-9 * max(1.0, abs(rho))))
 
 
 def _c(n: float) -> float:
     return 0.0 if n <= 1 else 1.0 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
 
 
-def isolation_forest(df: DataFrame, vector: str = "features", row_id: str = "_id", n_estimators: int = 100, max_samples: int | str = "auto", contamination: float | str = "auto", random_state: int = 7, max_rows: int = 5000) -> DataFrame:
-    """Isolation forest on at most `max_rows` sampled vectors; raw = threshold - score, so that outliers are negative."""
-    x, rng = _sample(df, vector, row_id, max_rows), np.random.default_rng(random_state)
-    psi = min(256 if max_samples == "auto" else int(max_samples), len(x))
+def isolation_forest(df: DataFrame, vector: str = "features", row_id: str = "_id", n_estimators: int = 100, max_samples: int | str = "auto", contamination: float | str = "auto", random_state: int = 7) -> DataFrame:
+    """Isolation forest; raw = threshold - score, so that outliers are negative. Each tree draws its rows from all rows, and a
+    threshold by contamination is a quantile of the scores of all rows."""
+    rng = np.random.default_rng(random_state)
+    d = with_position(df.where(F.col(vector).isNotNull()).select(row_id, F.col(vector).cast("array<double>").alias("v")), [row_id])
+    n = d.count()
+    if not n:
+        raise ValueError("no vectors to fit")
+    psi = min(256 if max_samples == "auto" else int(max_samples), n)
+    draws = [rng.choice(n, psi, replace=False) for _ in range(n_estimators)]
+    drawn = np.unique(np.concatenate(draws))  # at most n_estimators * psi rows
+    wanted = df.sparkSession.createDataFrame(pd.DataFrame({"pos": drawn}), "pos bigint")
+    x = np.array([r["v"] for r in d.join(F.broadcast(wanted), "pos").orderBy("pos").select("v").collect()], float)
     limit = int(np.ceil(np.log2(max(psi, 2))))
     forest = []
-    for _ in range(n_estimators):
-        feature, cut, kid, size = [], [], [], []
+    for draw in draws:
+        feature, at, kid, size = [], [], [], []
 
         def grow(rows: np.ndarray, depth: int) -> int:
             i = len(feature)
-            for a, v in ((feature, -1), (cut, 0.0), (kid, (0, 0)), (size, len(rows))):
+            for a, v in ((feature, -1), (at, 0.0), (kid, (0, 0)), (size, len(rows))):
                 a.append(v)
             wide = np.flatnonzero(np.ptp(rows, axis=0) > 0) if len(rows) > 1 and depth < limit else []
             if len(wide):
                 f = int(rng.choice(wide))
                 c = float(rng.uniform(rows[:, f].min(), rows[:, f].max()))
-                feature[i], cut[i] = f, c
+                feature[i], at[i] = f, c
                 kid[i] = (grow(rows[rows[:, f] <= c], depth + 1), grow(rows[rows[:, f] > c], depth + 1))
             return i
 
-        grow(x[rng.choice(len(x), psi, replace=False)], 0)
-        forest.append((np.array(feature), np.array(cut), np.array(kid), np.array([_c(s) for s in size])))
+        grow(x[np.searchsorted(drawn, draw)], 0)
+        forest.append((np.array(feature), np.array(at), np.array(kid), np.array([_c(s) for s in size])))
 
     def score(y: np.ndarray) -> np.ndarray:
         total = np.zeros(len(y))
-        for feature, cut, kid, extra in forest:
+        for feature, at, kid, extra in forest:
             node, depth = np.zeros(len(y), int), np.zeros(len(y))
             for _ in range(limit):
                 f = feature[node]
                 go = f >= 0
-                right = (y[np.arange(len(y)), np.maximum(f, 0)] > cut[node]).astype(int)
+                right = (y[np.arange(len(y)), np.maximum(f, 0)] > at[node]).astype(int)
                 node = np.where(go, kid[node, right], node)
                 depth += go
             total += depth + extra[node]
         return 2 ** (-total / len(forest) / max(_c(psi), 1e-9))
 
-    bar = 0.5 if contamination == "auto" else float(np.quantile(score(x), 1 - float(contamination)))
-    return _scored(df, vector, row_id, lambda y: bar - score(y) if psi > 1 else np.zeros(len(y)))
+    s = _scores(d, "v", row_id, score)
+    bar = 0.5 if contamination == "auto" else _quantile(s, 1 - float(contamination))
+    return _flagged(s, row_id, F.lit(bar) - F.col("s") if psi > 1 else F.lit(0.0))
 
 
 def _least(d: np.ndarray, k: int) -> np.ndarray:
@@ -192,8 +215,7 @@ def local_outlier_factor(df: DataFrame, vector: str = "features", row_id: str =
     lrd = near.groupBy("p").agg(F.when(F.sum("fit") > 0, density("fit")).otherwise(1.0).alias("lrd"))
     near = near.join(lrd.withColumnRenamed("p", "q"), "q")
     raw = near.groupBy("p").agg((F.lit(bar) - mean("used", "lrd") / density("used")).alias("raw_score"))
-    scored = d.join(pts.join(raw, "p").select("v", "raw_score"), "v")
-    return scored.select(row_id, F.when(F.col("raw_score") < 0, -1).otherwise(1).alias("anom_score"), "raw_score", F.lit(False).alias("trainval"))
+    return _flagged(d.join(pts.join(raw, "p").select("v", "raw_score"), "v"), row_id, F.col("raw_score"))
 
 
 def distribution_divergence(train: DataFrame, test: DataFrame, columns: list[str], n_bins: int = 100, kinds: list[str] | str = ("KL",)) -> DataFrame:
