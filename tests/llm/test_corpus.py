@@ -264,6 +264,17 @@ def test_wanted_sizes():
     assert mixing.wanted_sizes(np.array([0.5, 0.5]), np.array([10.0, 10.0]), 100).tolist() == [10, 10]
 
 
+def test_topics_are_trained_on_all_documents(spark):
+    # 4,200 documents in five topics, and a sixth of ten documents that a sample of every second one (by hash) misses
+    words = [" ".join(f"t{t}w{j}" for j in range(12)) for t in range(6)]
+    ids = spark.range(20_000).where("pmod(xxhash64(id), 2) = 1").orderBy("id").limit(10)
+    rare = {r.id for r in ids.collect()}
+    rows = [(i, words[5] if i in rare else words[i % 5], "s", "en") for i in range(4200)]
+    m = mixing.measured(docs(spark, rows), "doc_id", "text", "source", "lang", mixing.MixSpec())
+    sizes = sorted(r["count"] for r in m.groupBy("topic").count().collect())
+    assert len(rare & set(range(4200))) == 10 and len(sizes) == 6 and sizes[0] == 10
+
+
 def test_tokens_are_counted_as_encoded(spark):
     m = mixing.measured(docs(spark, [(i, t, "s", "en") for i, t in enumerate(TEXTS)]), "doc_id", "text", "source", "lang", mixing.MixSpec())
     ids = encode_corpus(docs(spark, [(i, t, "s", "en") for i, t in enumerate(TEXTS)]))

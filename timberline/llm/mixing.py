@@ -1,7 +1,7 @@
 """Mixing sources to target weights by iterative proportional fitting (problem 9).
 
 1. One pass over the documents gives each its size in tokens of a public tokenizer and its topic (nearest of a few
-   centroids of hashed word counts, trained on a bounded sample).
+   centroids of hashed word counts, trained on all documents: each round sums the vectors by topic).
 2. Sizes are summed by cell: source x language x topic. Languages are folded to a fixed list and topics are numbered, so the
    table of cells is bounded by (targets x languages x topics) and fits on the driver.
 3. The wanted size of each source is its target share of the total; a source that cannot reach it even when
@@ -37,7 +37,7 @@ class MixSpec:
     total_tokens: int | None = None  # size of the mix; by default that of all documents of the targeted sources
     topics: int = 6
     dims: int = 64
-    sample_docs: int = 4000  # bound of the sample the centroids are trained on
+    topic_rounds: int = 12
     rounds: int = 60
     block_docs: int = 20_000
     seed: str = "mix"
@@ -48,30 +48,70 @@ def language(c: Column) -> Column:
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv]), code), F.lit("other"))
 
 
-def hashed_counts(texts: list[str | None], dims: int) -> np.ndarray:
-    """Unit vectors of hashed word counts (log scale)."""
-    x = np.zeros((len(texts), dims))
+def word_counts(texts: list[str | None], dims: int) -> np.ndarray:
+    x = np.zeros((len(texts), dims), np.int32)
     for i, t in enumerate(texts):
         for w in (t or "").lower().split():
             x[i, zlib.crc32(w.encode("utf-8", "replace")) % dims] += 1
-    x = np.log1p(x)
+    return x
+
+
+def unit(counts: np.ndarray) -> np.ndarray:
+    """Unit vectors of hashed word counts (log scale)."""
+    x = np.log1p(counts.astype(float))
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
-def train_topics(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
-    """Centroids by spherical k-means, started from far-apart rows; one zero centroid if there are no rows."""
-    if not len(x):
-        return np.zeros((1, x.shape[1]))
-    c = [x[0]]
-    while len(c) < min(k, len(x)):
-        c.append(x[int(np.argmin(np.max(x @ np.array(c).T, axis=1)))])
-    c = np.array(c)
+def _packed(v: pd.Series, dims: int) -> np.ndarray:
+    return unit(np.frombuffer(b"".join(v), np.int32).reshape(len(v), dims))
+
+
+def train_topics(counted: DataFrame, k: int, dims: int, rounds: int) -> np.ndarray:
+    """Centroids by spherical k-means over all rows (doc_id, v) with words, started from far-apart rows; one zero centroid if there are none.
+
+    To the driver come a row per task while starting, then one sum and count per topic and task.
+    """
+    rows = counted.where(F.col("v") != F.lit(bytes(4 * dims))).select("doc_id", "v")  # texts without words have no direction
+    first = rows.orderBy("doc_id", "v").first()
+    if first is None:
+        return np.zeros((1, dims))
+    c = _packed(pd.Series([first["v"]]), dims)
+
+    def farthest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = None
+        for b in batches:
+            if len(b):
+                near = (_packed(b["v"], dims) @ c.T).max(axis=1)
+                i = np.lexsort((b["doc_id"].to_numpy(), near))[0]
+                this = (float(near[i]), b["doc_id"].iloc[i], b["v"].iloc[i])
+                best = this if best is None else min(best, this)
+        if best:
+            yield pd.DataFrame([best], columns=["near", "doc_id", "v"])
+
+    while len(c) < k:
+        far = min(map(tuple, rows.mapInPandas(farthest, "near double, doc_id bigint, v binary").collect()))
+        if far[0] >= 1 - 1e-9:  # fewer directions than topics
+            break
+        c = np.vstack((c, _packed(pd.Series([far[2]]), dims)))
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, s = np.zeros(len(c), int), np.zeros(c.shape)
+        for b in batches:
+            if len(b):
+                x = _packed(b["v"], dims)
+                at = (x @ c.T).argmax(axis=1)
+                n += np.bincount(at, minlength=len(c))
+                s += (at[:, None] == np.arange(len(c))).T.astype(float) @ x
+        yield pd.DataFrame({"j": np.arange(len(c)), "n": n, "s": list(s)})
+
     for _ in range(rounds):
-        at = (x @ c.T).argmax(axis=1)
-        for j in range(len(c)):
-            if (at == j).any():
-                m = x[at == j].mean(axis=0)
-                c[j] = m / max(np.linalg.norm(m), 1e-12)
+        n, s = np.zeros(len(c), int), np.zeros(c.shape)
+        for r in rows.mapInPandas(sums, "j int, n bigint, s array<double>").collect():
+            n[r["j"]] += r["n"]
+            s[r["j"]] += r["s"]
+        was, c = c, np.where(n[:, None] > 0, s / np.maximum(np.linalg.norm(s, axis=1, keepdims=True), 1e-12), c)
+        if np.allclose(was, c, rtol=0, atol=1e-12):
+            break
     return c
 
 
@@ -88,24 +128,23 @@ def measured(docs: DataFrame, doc_id: str, text: str, source: str, lang: str, sp
     """doc_id, source, lang, topic, tokens of every document."""
     path = tokenizer or os.path.join(TOKENIZER_DIR, "byte_bpe_50k.tiktoken")
     src = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(source).alias("source"), language(F.col(lang)).alias("lang"), F.col(text).cast("string").alias("text"))
-    every = max(1, -(-src.count() // spec.sample_docs))
     dims = spec.dims
 
-    def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        enc = _counter(path)
         for b in batches:
-            yield pd.DataFrame({"v": list(hashed_counts(b["text"].tolist(), dims))})
+            texts = b["text"].tolist()
+            yield b[["doc_id", "source", "lang"]].assign(v=[x.tobytes() for x in word_counts(texts, dims)], tokens=[len(enc.encode_ordinary(t)) if t else 0 for t in texts])
 
-    sample = src.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text").mapInPandas(vectors, "v array<double>").limit(2 * spec.sample_docs).toPandas()
-    centroids = train_topics(np.array(sample["v"].tolist()).reshape(-1, dims), spec.topics)
+    counted = cut(src.mapInPandas(count, "doc_id bigint, source string, lang string, v binary, tokens bigint"))
+    centroids = train_topics(counted, spec.topics, dims, spec.topic_rounds)
 
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = _counter(path)
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            texts = b["text"].tolist()
-            topic = (hashed_counts(texts, dims) @ centroids.T).argmax(axis=1)
-            yield b[["doc_id", "source", "lang"]].assign(topic=topic, tokens=[len(enc.encode_ordinary(t)) if t else 0 for t in texts])
+            if len(b):
+                yield b[["doc_id", "source", "lang"]].assign(topic=(_packed(b["v"], dims) @ centroids.T).argmax(axis=1), tokens=b["tokens"])
 
-    return src.mapInPandas(measure, "doc_id bigint, source string, lang string, topic int, tokens bigint")
+    return counted.mapInPandas(assign, "doc_id bigint, source string, lang string, topic int, tokens bigint")
 
 
 def wanted_sizes(share: np.ndarray, cap: np.ndarray, total: float) -> np.ndarray:
