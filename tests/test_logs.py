@@ -377,6 +377,12 @@ def test_sequences_keep_all_their_lines_unless_a_length_is_asked_for(spark):
     assert {r._id: r.ids for r in seq.collect()} == {0: list(range(2, 27)), 1: [5]}
 
 
+def test_query_of_subword_vectors_keeps_the_tail_of_long_lines(spark, tmp_path):
+    r = [("r1", T0, "s", "INFO", "c", "d", " ".join("abcdefghijklmnopqrst"), 0)]
+    spark.createDataFrame(r, "record_id string, ts timestamp_ntz, span_id string, severity_text string, component string, dataset_name string, logline string, labels int").write.parquet(f"{tmp_path}/log_records.parquet")
+    assert len(logs.subword_vectors(spark, str(tmp_path)).first().vector) == 20 * 100
+
+
 # --- clusters and detectors
 
 VEC = "_id bigint, features array<double>"

@@ -474,7 +474,7 @@ def word2vec(spark, d):
 
 @query()
 def subword_vectors(spark, d):
-    return vectorize.subword_vectors(ael(records(spark, d)), "parsed_logline", vector_size=16, max_token_len=12)
+    return vectorize.subword_vectors(ael(records(spark, d)), "parsed_logline")
 
 
 @query()
@@ -613,7 +613,7 @@ def app_counter_anomalies(spark, d):
 
 @query()
 def app_vector_anomalies(spark, d):
-    app = LogAnomalies(WorkFlowConfig(log_parser_config=LogParserConfig("ael"), log_vectorizer_config=VectorizerConfig("word2vec"), feature_extractor_config=FeatureExtractorConfig(["component"], "1d", max_feature_len=30), anomaly_detection_config=AnomalyDetectionConfig("isolation_forest")))
+    app = LogAnomalies(WorkFlowConfig(log_parser_config=LogParserConfig("ael"), log_vectorizer_config=VectorizerConfig("word2vec"), feature_extractor_config=FeatureExtractorConfig(["component"], "1d"), anomaly_detection_config=AnomalyDetectionConfig("isolation_forest")))
     app.execute(record=record(spark, d))
     return app.evaluation()
 
