@@ -383,6 +383,12 @@ def test_query_of_subword_vectors_keeps_the_tail_of_long_lines(spark, tmp_path):
     assert len(logs.subword_vectors(spark, str(tmp_path)).first().vector) == 20 * 100
 
 
+def test_query_of_line_lengths_counts_long_lines(spark, tmp_path):
+    r = [(f"r{n}", T0, "s", "INFO", "c", "d", "x" * n, 0) for n in (3, 100, 101, 250)]
+    spark.createDataFrame(r, "record_id string, ts timestamp_ntz, span_id string, severity_text string, component string, dataset_name string, logline string, labels int").write.parquet(f"{tmp_path}/log_records.parquet")
+    assert {x.bin: x.counts for x in logs.length_histogram(spark, str(tmp_path)).collect()} == {0: 1, 19: 1, 20: 1, 50: 1}
+
+
 # --- clusters and detectors
 
 VEC = "_id bigint, features array<double>"

@@ -112,9 +112,15 @@ def dedup_with_counts(df: DataFrame, span: str = "span_id", text: str = "logline
     return df.groupBy(span, text).agg(F.count("*").alias("counts"), F.max(label).alias(label), F.max_by(ts, row_id).alias(ts))
 
 
-def histogram(df: DataFrame, column: str, bins: int, lo: float, hi: float) -> DataFrame:
-    """Counts in `bins` equal bins of [lo, hi]; the last includes its end, values outside and nulls are left out."""
+def histogram(df: DataFrame, column: str, bins: int, lo: float, hi: float, whole: bool = False) -> DataFrame:
+    """Counts in `bins` equal bins of [lo, hi]; the last includes its end, values outside and nulls are left out.
+
+    With `whole`, values outside are counted in further bins of the same width: from `bins` on above hi, negative ones below lo."""
     x = F.col(column).cast("double")
+    if whole:
+        w = (hi - lo) / bins
+        b = F.when(x == F.lit(hi), F.lit(bins - 1)).otherwise(F.floor((x - F.lit(lo)) / F.lit(w))).cast("bigint")
+        return df.where(x.isNotNull()).groupBy(b.alias("bin")).agg(F.count("*").alias("counts"))
     w = (hi - lo) / bins
     b = F.least(F.floor((x - F.lit(lo)) / F.lit(w)), F.lit(bins - 1)).cast("bigint")
     return df.where(x.between(lo, hi)).groupBy(b.alias("bin")).agg(F.count("*").alias("counts"))

@@ -168,7 +168,7 @@ def component_frequency(spark, d):
 @query(_R + " select cast(least(floor((length(logline) - 0) / 5.0), 19) as bigint) as bin, count(*) as counts from r where length(logline) between 0 and 100 group by 1")
 def length_histogram(spark, d):
     r = records(spark, d).withColumn("n", F.length("logline"))
-    return counters.histogram(r, "n", 20, 0, 100)
+    return counters.histogram(r, "n", 20, 0, 100, whole=True)
 
 
 @query(_R + ", x as (select component, cast(length(logline) as double) as v from r where component is not null and logline is not null), t as (select *, row_number() over (partition by component order by v desc) as k from x) select component, avg(v) as top_mean, count(*) as n_top from t where k <= 6 group by component")
