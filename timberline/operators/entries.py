@@ -197,6 +197,6 @@ is null). An empty table gives no rows.
     g = g.select(*out)
     if not with_message:
         return g
-    blank = {"zone": F.lit(None).cast("string"), "fmt": F.lit(None).cast("string"), "at": F.lit(None).cast("timestamp")}
-    t = assemble(decompose(g.withColumns(blank), "time", keep_all=True), "zone", "fmt", "at", F.lit(None).cast("map<string,int>"), "us")
+    blank = {"zone": F.lit(None).cast("string"), "day_first": F.lit(None).cast("boolean"), "at": F.lit(None).cast("timestamp")}
+    t = assemble(decompose(g.withColumns(blank), "time"), "zone", "day_first", "at", F.lit(None).cast("map<string,int>"), "us")
     return t.select(*g.columns, F.timestamp_micros("us").cast("timestamp_ntz").alias("ts"))
