@@ -30,8 +30,9 @@ def regular_grid(df: DataFrame, spec: GridSpec = GridSpec()) -> DataFrame:
 
     Columns: the series columns, bucket_start (seconds since 1970 UTC), n_readings, value, status, prev_s, next_s.
     status is 'observed' (value = mean of the step's readings), 'interpolated' (linear in time between the readings
-    before and after the step) or 'gap' (value null: those readings are more than the gap limit apart). A step holds its
-    beginning and not its end. Rows with null or negative value, null time or a null series column are no readings;
+    before and after the step) or 'gap' (value null: those readings are more than the gap limit apart). prev_s and next_s
+    are the times (seconds) of the last reading before the step's end and of the first at or after its beginning, so
+    that a step is empty where they lie on its two sides. A step holds its beginning and not its end. Rows with null or negative value, null time or a null series column are no readings;
     a row delivered again (same series, time and value) counts once. A series of one reading is one step; an
     empty table gives no rows. Other columns are not read.
     """
@@ -61,8 +62,9 @@ def regular_grid(df: DataFrame, spec: GridSpec = GridSpec()) -> DataFrame:
     # grid row and reading row of the same step meet here: map-side combined, and partitioned as the as-of windows need it
     merged = both.groupBy(*keys, "bucket").agg(F.max("n").alias("n"), F.max("mean").alias("mean"), F.max("head").alias("head"), F.max("tail").alias("tail"))
     merged = merged.withColumn("p", F.floor(F.col("bucket") / piece).cast("bigint"))
-    before = Window.partitionBy(*keys, "p").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy(*keys, "p").orderBy(F.col("bucket").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    # as of a step's end and as of its beginning: a reading within the step is its own neighbour on both sides
+    before = Window.partitionBy(*keys, "p").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    after = Window.partitionBy(*keys, "p").orderBy(F.col("bucket").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     merged = merged.withColumn("prev", F.last("tail", ignorenulls=True).over(before)).withColumn("next", F.last("head", ignorenulls=True).over(after))
     # neighbours across the cuts: one row per series and piece
     edge = steps.withColumn("p", F.floor(F.col("bucket") / piece).cast("bigint")).groupBy(*keys, "p").agg(F.max("tail").alias("e_tail"), F.min("head").alias("e_head"))
@@ -75,13 +77,13 @@ def regular_grid(df: DataFrame, spec: GridSpec = GridSpec()) -> DataFrame:
     share = (at - F.col("prev.us")) / (F.col("next.us") - F.col("prev.us"))
     line = F.col("prev.v") + (F.col("next.v") - F.col("prev.v")) * share
     near = (F.col("next.us") - F.col("prev.us")) <= F.lit(spec.gap_limit_seconds * 1_000_000)
-    seen = F.col("n").isNotNull()
+    seen = (F.col("prev.us") >= at) & (F.col("next.us") < at + F.lit(step * 1_000_000))
     return merged.select(
         *[F.col(k).alias(c) for c, k in zip(spec.series, keys)],
         (F.col("bucket") * step).cast("bigint").alias("bucket_start"),
         F.coalesce("n", F.lit(0)).cast("bigint").alias("n_readings"),
         F.when(seen, F.col("mean")).when(near, line).alias("value"),
         F.when(seen, "observed").when(near, "interpolated").otherwise("gap").alias("status"),
-        F.when(~seen, F.col("prev.us") / 1e6).alias("prev_s"),
-        F.when(~seen, F.col("next.us") / 1e6).alias("next_s"),
+        (F.col("prev.us") / 1e6).alias("prev_s"),
+        (F.col("next.us") / 1e6).alias("next_s"),
     )

@@ -36,7 +36,8 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     g = regular_grid(read(spark, d, "counter_readings"))
-    return g.where(F.col("n_readings") == 0).select("action_name", "id", "bucket_start")
+    # empty: the as-of neighbours lie on both sides of the quarter hour
+    return g.where("prev_s < bucket_start and next_s >= bucket_start + 900").select("action_name", "id", "bucket_start")
 
 
 def p7_grid(spark: SparkSession, d: str) -> DataFrame:
