@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tests import brute
-from timberline.operators.entries import EXTRA_LAYOUTS, compile_layout, log_entries
+from timberline.operators.entries import Layout, compile_layout, find_layouts, log_entries
 from timberline.operators.grid import GridSpec, regular_grid
 from timberline.operators.instants import days_from_civil, normalise_times, zone_abbreviations
 from timberline.operators.sessions import GapTimers, SessionSpec, sessionize
@@ -45,6 +45,11 @@ def test_p7_found(spark, tiny):
     assert found(training.p7_found(spark, tiny)) == brute.empty_steps(table(tiny, "select action_name, id, ts, counts from '@/counter_readings.parquet'"))
 
 
+def test_p7_found_merges_readings_and_grid(spark, tiny):
+    plan = training.p7_found(spark, tiny)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 4  # both sides, in pieces and across them
+
+
 def minutes(*ms):
     return [T0 + timedelta(minutes=m) for m in ms]
 
@@ -90,7 +95,7 @@ def test_timers_do_not_depend_on_batches(events, size):
 
 
 def test_entries_edge_cases(spark):
-    lay = [compile_layout("a", "<Date> <Time> - <Component> - <Level> - <Content>", "%Y-%m-%d %H:%M:%S,%f"), *EXTRA_LAYOUTS]
+    lay = [compile_layout("a", "<Date> <Time> - <Component> - <Level> - <Content>", "%Y-%m-%d %H:%M:%S,%f"), compile_layout("b", "<Level>: <Time>; <Component>; <Content>", "%d.%m.%Y %H:%M:%S"), Layout("json", "", (), {"time": "time", "severity": "lvl", "component": "mod", "message": "msg"})]
     h = "2024-01-01 00:00:0{},000 - comp.A - \x1b[31mWARN\x1b[0m - m{}"
     rows = [
         (1, "f", 1, "tail of something"),
@@ -114,6 +119,60 @@ def test_entries_edge_cases(spark):
     assert log_entries(df.limit(0), lay).count() == 0
 
 
+def test_layouts_are_found_in_the_lines(spark):
+    known = [compile_layout("a", "<Date> <Time> - <Component> - <Level> - <Content>", "%Y-%m-%d %H:%M:%S,%f")]
+    lines = []
+    for i in range(30):
+        lines += [
+            f"2024/01/02 03:04:{i:02d} [WARN] [svc.{i % 3}] disk {i} is full",
+            f"<{i}> no layout at all",
+            f'{{"at": "2024-01-02T03:04:{i:02d}Z", "sev": "Error", "unit": "db/main{i % 4}", "text": "row {i} lost", "n": {i}}}',
+            f"2024-01-02 03:04:05,{i:03d} - known - INFO - line {i}",
+            f"    at step {i} 2024/01/02 03:04:05 [WARN] [svc.1] quoted",
+            f"2024-01-02 03:04:{i:02d} maintenance window begins",
+            f">> 2024/01/02 03:04:{i:02d} [WARN] [svc.1] quoted",
+        ]
+    df = spark.createDataFrame([(i, "f", i, t) for i, t in enumerate(lines)] + [(900, "f", 900, None), (901, "f", 901, "{")], "line_id bigint, file_name string, line_no bigint, raw_text string")
+    found = find_layouts(df, known)
+    assert [(x.fields, x.json_keys) for x in found] == [(("time", "severity", "component", "message"), {}), ((), {"time": "at", "severity": "sev", "component": "unit", "message": "text"})]
+    out = log_entries(df, [*known, *found]).collect()
+    assert len(out) == 90
+    assert {(r.severity_text, r.component) for r in out} == {("WARN", "svc.0"), ("WARN", "svc.1"), ("WARN", "svc.2"), ("INFO", "known"), *(("Error", f"db/main{k}") for k in range(4))}
+    assert {r.ts for r in out if r.component == "svc.0"} == {datetime(2024, 1, 2, 3, 4, s) for s in range(0, 30, 3)}
+    assert sorted((r.first_line_id, r.last_line_id) for r in log_entries(df, [*known, *found], with_message=False, block_lines=5).collect()) == sorted((r.first_line_id, r.last_line_id) for r in out)
+    assert find_layouts(df.limit(0), known) == []
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 1), st.integers(0, 25), st.booleans()), max_size=30), st.integers(1, 7))
+def test_entries_do_not_depend_on_blocks(spark, rows, block):
+    lay = [compile_layout("a", "<Time> <Component>: <Content>", "%H:%M")]
+    data = [(10 * n + i, f"f{f}", n, "10:00 c: m" if h else f"x{n}") for i, (f, n, h) in enumerate(rows)]
+    df = spark.createDataFrame(data, "line_id bigint, file_name string, line_no bigint, raw_text string")
+    by = {}
+    for i, f, n, t in sorted(data, key=lambda r: (r[1], r[2], r[0])):
+        by.setdefault(f, {}).setdefault(n, (i, t))
+    want = want_text(by)
+    for whole in (False, True):
+        got = {(r.first_line_id, r.last_line_id, *([r.message] if whole else [])) for r in log_entries(df, lay, with_message=whole, block_lines=block).collect()}
+        assert got == {w if whole else w[:2] for w in want}
+
+
+def want_text(by):
+    out = set()
+    for lines in by.values():
+        cur = None
+        for n in sorted(lines):
+            i, t = lines[n]
+            if t[0] == "1":
+                out |= {(cur[0], cur[1], "\n".join(cur[2]))} if cur else set()
+                cur = [i, i, ["m"]]
+            elif cur:
+                cur = [cur[0], i, [*cur[2], t]]
+        out |= {(cur[0], cur[1], "\n".join(cur[2]))} if cur else set()
+    return out
+
+
 def instants(spark, rows, sources):
     r = spark.createDataFrame([(i, s, t, datetime(2024, 6, 1, 12)) for i, (s, t) in enumerate(rows)], "row_id bigint, source_name string, timestamps string, received_at timestamp_ntz")
     s = spark.createDataFrame(sources, "source_name string, zone_name string, datetime_format string")
@@ -126,7 +185,7 @@ def us(*a):
 
 
 def test_instants_edge_cases(spark):
-    src = [("ny", "America/New_York", None), ("de", "Europe/Berlin", "%d/%m/%Y %H:%M"), ("u", None, None), ("bad", "Mars/Base", None)]
+    src = [("ny", "America/New_York", None), ("de", "Europe/Berlin", "%d/%m/%Y %H:%M"), ("u", None, None), ("bad", "Mars/Base", None), ("odd", None, "%Hh%Mm%S %d~%m~%Y"), ("doy", "Asia/Tokyo", "%Y/%j %H.%M"), ("no", None, "%Q %d"), ("z", None, "%A %d %B %y, %I:%M %p %z")]
     cases = [
         (("ny", "2024-11-03 01:30:00"), us(2024, 11, 3, 5, 30)),  # twice: the first
         (("ny", "2024-11-03 01:30:00 EST"), us(2024, 11, 3, 6, 30)),
@@ -150,6 +209,21 @@ def test_instants_edge_cases(spark):
         (("u", ""), None),
         (("u", "9" * 100_000), None),
         ((None, "240101 000000"), us(2024, 1, 1)),
+        # formats that only the sources declare; their other texts are read by the general notations
+        (("odd", "10h20m30 5~6~2024"), us(2024, 6, 5, 10, 20, 30)),
+        (("odd", "10h20m30 31~6~2024"), None),
+        (("odd", "2024-01-01 10:00:00"), us(2024, 1, 1, 10)),
+        (("u", "10h20m30 5~6~2024"), None),
+        (("doy", "2024/366 09.30"), us(2024, 12, 31, 0, 30)),
+        (("doy", "2023/366 09.30"), None),
+        (("no", "2024-01-01 10:00:00"), us(2024, 1, 1, 10)),
+        (("z", "Monday 03 June 24, 12:15 am +0230"), us(2024, 6, 2, 21, 45)),
+        # words that are no months or days
+        (("u", "Marble 5, 2024 10:00:00"), None),
+        (("u", "Zzz, 12 Junk 2024 10:00:00"), None),
+        (("u", "Zzz, 12 Jun 2024 10:00:00"), None),
+        (("u", "Sept. 5, 2023 10:00:00"), us(2023, 9, 5, 10)),
+        (("u", "\x0110:00"), None),
     ]
     assert instants(spark, [c for c, _ in cases], src) == [e for _, e in cases]
 

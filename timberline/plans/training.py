@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.operators.entries import layouts_of, log_entries
+from timberline.operators.entries import find_layouts, layouts_of, log_entries
 from timberline.operators.grid import regular_grid
 from timberline.operators.instants import normalise_times
 from timberline.operators.sessions import sessionize
@@ -21,13 +21,18 @@ def p1_sessions(spark: SparkSession, d: str) -> DataFrame:
     return sessionize(read(spark, d, "log_records"))
 
 
+def _entries(spark: SparkSession, d: str, with_message: bool) -> DataFrame:
+    lines, listed = read(spark, d, "raw_lines"), layouts_of(read(spark, d, "log_formats"))
+    return log_entries(lines, [*listed, *find_layouts(lines, listed)], with_message=with_message)
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    e = log_entries(read(spark, d, "raw_lines"), layouts_of(read(spark, d, "log_formats")), with_message=False)
+    e = _entries(spark, d, False)
     return e.select("first_line_id", "last_line_id", "severity_text", "component")
 
 
 def p2_entries(spark: SparkSession, d: str) -> DataFrame:
-    return log_entries(read(spark, d, "raw_lines"), layouts_of(read(spark, d, "log_formats")))
+    return _entries(spark, d, True)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

@@ -32,14 +32,20 @@ PRESETS = {
 }
 
 
-def line_pattern(log_format: str) -> tuple[str, list[str]]:
-    """A format such as '<Date> <Time> <Content>' as an expression with one lazy group per field, and the fields.
+def notation(log_format: str) -> list[tuple[str | None, str]]:
+    """The parts of a format such as '<Date> <Time> <Content>': (field, '') for a field, (None, expression) for the text between
+    fields, which is a regular expression itself; its blanks stand for any white space."""
+    parts, at = [], 0
+    for m in re.finditer(r"<([^<>]+)>", log_format):
+        parts += [(None, re.sub(" +", r"\\s+", log_format[at : m.start()])), (m[1], "")]
+        at = m.end()
+    return [p for p in [*parts, (None, re.sub(" +", r"\\s+", log_format[at:]))] if p != (None, "")]
+
 
-    Text between fields is a regular expression itself; its spaces match any white space.
-    """
-    pieces = re.split(r"<([^<>]+)>", log_format)
-    pattern = "".join(re.sub(" +", r"\\s+", p) if i % 2 == 0 else "(.*?)" for i, p in enumerate(pieces))
-    return f"^{pattern}$", pieces[1::2]
+def line_pattern(log_format: str) -> tuple[str, list[str]]:
+    """A format as an expression with one lazy group per field, and the fields."""
+    parts = notation(log_format)
+    return "^" + "".join("(.*?)" if f else x for f, x in parts) + "$", [f for f, _ in parts if f]
 
 
 def preset(name: str, path: str) -> DataLoaderConfig:
