@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from timberline.runtime import cut
+
 
 @dataclass(frozen=True)
 class GridSpec:
@@ -52,6 +54,7 @@ def regular_grid(df: DataFrame, spec: GridSpec = GridSpec()) -> DataFrame:
         F.min(F.struct("us", "v")).alias("head"),
         F.max(F.struct("us", "v")).alias("tail"),
     )
+    steps = cut(steps)  # used three times: as readings, for the bounds of the grid and at the edges of its pieces
     bounds = steps.groupBy(*keys).agg(F.min("bucket").alias("lo"), F.max("bucket").alias("hi"))
     # the grid in pieces of span_steps: a far outlier of one series gives many small rows, not one huge array
     piece = F.lit(spec.span_steps)
