@@ -1,10 +1,14 @@
 """Repetition inside a single document, scored by boosted trees over document statistics (problem 10).
 
-Every document becomes a row of statistics (`STATS`), computed for a whole Arrow batch with array operations. Gradient-
-boosted trees, trained on a bounded sample of documents with measured labels and constrained to be monotonic in chosen
-statistics, are flattened into node arrays and score whole batches level by level. Selection is by score: the bar is the
-trees' lower bound over all documents whose repeated share reaches the threshold (found by walking the flattened trees
-with an interval), so no such document falls below it; an exact word-by-word check decides about those above.
+Every document becomes a row of statistics (`STATS`), computed for a whole Arrow batch with array operations; none of them is
+the share that is asked for. Gradient-boosted trees, trained to tell that share on a bounded sample of measured documents and
+constrained to be monotonic in chosen statistics, are flattened into node arrays and score whole batches level by level.
+
+Selection is by score, and the bar loses nothing: a passage of k words that began earlier repeats k - 1 pairs of words, and
+k - 2 triples, and each of its words has occurred before. So a repeated share of at least s implies shares of repeated pairs and
+triples of at least s (k - 1) / k and s (k - 2) / k, and at most 1 - s of different words. The bar is the score of the least
+repetitive row within these limits, which monotony makes the least score there. An exact word-by-word check decides about the
+documents that reach it.
 
 Map-side only: one pass for the sample, one over the corpus; no shuffle of texts.
 """
@@ -24,7 +28,7 @@ LETTERS = regex.compile(r"\p{L}+")
 CJK = regex.compile(r"[\p{Hiragana}\p{Katakana}\p{Han}ー]")
 SENTENCE = regex.compile(r"[^.!?;\n。！？]+")
 #: Statistics of a document, and the direction in which the score may move with each (+1 up, -1 down, 0 free).
-STATS = {"passage_share": 1, "pair_share": 1, "sentence_share": 1, "top_word_share": 1, "distinct_ratio": -1, "log_words": 0, "longest_share": 1}
+STATS = {"pair_share": 1, "triple_share": 1, "sentence_share": 1, "top_word_share": 1, "distinct_ratio": -1, "log_words": 0}
 
 
 @dataclass(frozen=True)
@@ -71,54 +75,43 @@ def _first_flags(doc: np.ndarray, key: np.ndarray) -> np.ndarray:
     return first
 
 
-def statistics(texts: list[str | None], spec: RepetitionSpec) -> pd.DataFrame:
-    """STATS and n_words of each text. Documents without words have zero shares and a distinct ratio of one."""
-    split = [words_of(t) for t in texts]
-    n = np.array([len(w) for w, _ in split], np.int64)
-    size = np.where([c for _, c in split], spec.passage_letters, spec.passage_words)
-    docs, total = len(texts), int(n.sum())
-    ids: dict[str, int] = {}
-    word = np.fromiter((ids.setdefault(w, len(ids)) for ws, _ in split for w in ws), np.int64, total)
-    doc = np.repeat(np.arange(docs), n)
-    starts = np.cumsum(n) - n
-    left = n[doc] - (np.arange(total) - starts[doc])  # words from here to the document's end
-    mix = (word.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
-    mix ^= mix >> np.uint64(31)
-    safe = np.maximum(n, 1)
+class Words:
+    """The words of a batch of texts as arrays: number, text and place of each, and the words left in its text."""
 
-    def grams(k: int) -> np.ndarray:
-        h = np.zeros(total, np.uint64)
+    def __init__(self, texts: list[str | None], spec: RepetitionSpec):
+        split = [words_of(t) for t in texts]
+        self.docs, self.n = len(texts), np.array([len(w) for w, _ in split], np.int64)
+        self.size = np.where([c for _, c in split], spec.passage_letters, spec.passage_words).astype(np.int64)
+        ids: dict[str, int] = {}
+        self.word = np.fromiter((ids.setdefault(w, len(ids)) for ws, _ in split for w in ws), np.int64, int(self.n.sum()))
+        self.doc = np.repeat(np.arange(self.docs), self.n)
+        self.left = self.n[self.doc] - (np.arange(len(self.doc)) - (np.cumsum(self.n) - self.n)[self.doc])
+        mix = (self.word.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+        self.mix = mix ^ (mix >> np.uint64(31))
+
+    def again(self, k: int, at: np.ndarray) -> np.ndarray:
+        """Of places with k words left: whether these k words began earlier in the text."""
+        h = np.zeros(len(self.mix), np.uint64)
         with np.errstate(over="ignore"):
-            for j in range(min(k, total)):
-                h[: total - j] = h[: total - j] * np.uint64(0x100000001B3) + mix[j:]
-        return h
-
-    covered = np.zeros(total + 1, np.int64)
-    for k in np.unique(size):
-        at = np.flatnonzero((left >= k) & (size[doc] == k))
-        again = at[~_first_flags(doc[at], grams(int(k))[at])] if len(at) else at
-        np.add.at(covered, again, 1)
-        np.add.at(covered, again + k, -1)
-    inside = np.cumsum(covered[:-1]) > 0
-    rep = np.bincount(doc, inside, docs)
-    # the longest stretch of repeated words
-    edge = np.flatnonzero(np.diff(np.concatenate(([0], inside.astype(np.int8), [0]))))
-    longest = np.zeros(docs)
-    if len(edge):
-        cut = np.unique(np.concatenate((edge[0::2], starts[(n > 0)][inside[starts[n > 0]]] if total else [])).astype(np.int64))
-        runs = np.add.reduceat(inside.astype(np.int64), cut)
-        ends = np.append(cut[1:], total)
-        # a stretch ends before the next uncovered word: count its leading covered words only
-        stop = np.concatenate((edge[1::2], [total]))
-        runs = np.minimum(runs, np.minimum(stop[np.searchsorted(stop, cut, "right")] - cut, ends - cut))
-        np.maximum.at(longest, doc[cut], runs)
-    two = np.flatnonzero(left >= 2)
-    pair_again = np.bincount(doc[two], ~_first_flags(doc[two], grams(2)[two]), docs) if len(two) else np.zeros(docs)
-    fresh = _first_flags(doc, mix) if total else np.zeros(0, bool)
-    order = np.lexsort((word, doc))
+            for j in range(min(k, len(h))):
+                h[: len(h) - j] = h[: len(h) - j] * np.uint64(0x100000001B3) + self.mix[j:]
+        return ~_first_flags(self.doc[at], h[at])
+
+
+def statistics(texts: list[str | None], spec: RepetitionSpec, words: Words | None = None) -> pd.DataFrame:
+    """STATS and n_words of each text. Documents without words have zero shares and a distinct ratio of one."""
+    w = words or Words(texts, spec)
+    docs, n, doc, total = w.docs, w.n, w.doc, len(w.doc)
+    safe = np.maximum(n, 1)
+    begun = {}
+    for k in (2, 3):
+        at = np.flatnonzero(w.left >= k)
+        begun[k] = np.bincount(doc[at], w.again(k, at), docs) if len(at) else np.zeros(docs)
+    fresh = _first_flags(doc, w.mix) if total else np.zeros(0, bool)
+    order = np.lexsort((w.word, doc))
     top = np.zeros(docs)
     if total:
-        b = np.flatnonzero(np.concatenate(([True], (doc[order][1:] != doc[order][:-1]) | (word[order][1:] != word[order][:-1]))))
+        b = np.flatnonzero(np.concatenate(([True], (doc[order][1:] != doc[order][:-1]) | (w.word[order][1:] != w.word[order][:-1]))))
         np.maximum.at(top, doc[order][b], np.diff(np.append(b, total)))
     sentence = np.zeros(docs)
     for i, t in enumerate(texts):
@@ -126,19 +119,20 @@ def statistics(texts: list[str | None], spec: RepetitionSpec) -> pd.DataFrame:
             s = [x.strip().lower() for x in SENTENCE.findall(t)]
             s = [x for x in s if x]
             sentence[i] = 1 - len(set(s)) / len(s) if s else 0
-    return pd.DataFrame(
-        {
-            "passage_share": rep / safe,
-            "pair_share": pair_again / safe,
-            "sentence_share": sentence,
-            "top_word_share": top / safe,
-            "distinct_ratio": np.where(n > 0, np.bincount(doc, fresh, docs) / safe, 1.0),
-            "log_words": np.log1p(n),
-            "longest_share": longest / safe,
-            "n_words": n,
-            "n_repeated": rep.astype(np.int64),
-        }
-    )
+    distinct = np.where(n > 0, np.bincount(doc, fresh, docs) / safe, 1.0) if total else np.ones(docs)
+    return pd.DataFrame({"pair_share": begun[2] / safe, "triple_share": begun[3] / safe, "sentence_share": sentence, "top_word_share": top / safe, "distinct_ratio": distinct, "log_words": np.log1p(n), "n_words": n})
+
+
+def measured(texts: list[str | None], spec: RepetitionSpec, words: Words | None = None) -> np.ndarray:
+    """The number of repeated words of each text, by passage hashes (of 64 bits) over the whole batch."""
+    w = words or Words(texts, spec)
+    covered = np.zeros(len(w.doc) + 1, np.int64)
+    for k in np.unique(w.size):
+        at = np.flatnonzero((w.left >= k) & (w.size[w.doc] == k))
+        hit = at[w.again(int(k), at)] if len(at) else at
+        np.add.at(covered, hit, 1)
+        np.add.at(covered, hit + k, -1)
+    return np.bincount(w.doc, np.cumsum(covered[:-1]) > 0, w.docs).astype(np.int64) if len(w.doc) else np.zeros(w.docs, np.int64)
 
 
 @dataclass
@@ -162,26 +156,22 @@ class FlatTrees:
             node = np.where(f >= 0, self.child[node] + go, node)
         return self.value[node].sum(axis=1)
 
-    def lower_bound(self, feature: int, at_least: float) -> float:
-        """The least score any row with that statistic at or above a value can get."""
-
-        def least(i: int) -> float:
-            if self.feature[i] < 0:
-                return float(self.value[i])
-            right = least(self.child[i] + 1)
-            if self.feature[i] == feature and self.threshold[i] < at_least:
-                return right
-            return min(least(self.child[i]), right)
 
-        return sum(least(int(r)) for r in self.roots)
+def bars(trees: FlatTrees, x: np.ndarray, spec: RepetitionSpec) -> np.ndarray:
+    """For each row of STATS the score it must reach: that of the least repetitive document of as many words whose repeated share
+    is at the threshold. The trees are monotonic in all other statistics, so no document at or above it scores less."""
+    s, k, slack = spec.share[0] / spec.share[1], min(spec.passage_words, spec.passage_letters), 1e-9
+    least = {"pair_share": s * (k - 1) / k - slack, "triple_share": s * (k - 2) / k - slack, "sentence_share": 0.0, "top_word_share": 0.0, "distinct_ratio": 1 - s + slack}
+    words, of = np.unique(x[:, list(STATS).index("log_words")], return_inverse=True)
+    rows = np.array([[least.get(c, v) for c in STATS] for v in words]).reshape(-1, len(STATS))
+    return trees.score(rows)[of] - slack
 
 
 def train(x: np.ndarray, y: np.ndarray, monotone: list[int], spec: RepetitionSpec) -> FlatTrees:
-    """Newton boosting of the logistic loss on binned features.
+    """Boosting of the squared error on binned features.
 
     A split on a constrained feature must order its two values accordingly, and the middle between them bounds all
-    leaves below on either side; hence every tree, and the sum, is monotonic in that feature. Without rows or with one class
-    the trees are constants.
+    leaves below on either side; hence every tree, and the sum, is monotonic in that feature. Without rows the trees are constants.
     """
     cols = x.shape[1]
     cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, spec.bins + 1)[1:-1])) if len(x) else np.zeros(0) for j in range(cols)]
@@ -223,11 +213,10 @@ def train(x: np.ndarray, y: np.ndarray, monotone: list[int], spec: RepetitionSpe
         grow(child[i], rows[~right], g, h, depth + 1, *bounds[0])
         grow(child[i] + 1, rows[right], g, h, depth + 1, *bounds[1])
 
-    for _ in range(spec.trees if len(x) and 0 < y.mean() < 1 else 1):
-        p = 1 / (1 + np.exp(-margin))
+    for _ in range(spec.trees if len(x) else 1):
         roots.append(node())
         if len(x):
-            grow(roots[-1], np.arange(len(x)), p - y, p * (1 - p), 0, -8.0, 8.0)
+            grow(roots[-1], np.arange(len(x)), margin - y, np.ones(len(x)), 0, -8.0, 8.0)
         flat = FlatTrees(np.array(feature), np.array(threshold), np.array(child), np.array(value), np.array(roots), spec.depth)
         if len(x):
             margin = flat.score(x)
@@ -235,48 +224,52 @@ def train(x: np.ndarray, y: np.ndarray, monotone: list[int], spec: RepetitionSpe
 
 
 def fit(df: DataFrame, doc_id: str, text: str, spec: RepetitionSpec) -> FlatTrees:
-    """Train on at most about `sample_docs` documents, taken evenly by a hash of their id, labelled by measurement."""
+    """Train on about `sample_docs` documents (twice as many at most), taken evenly by a hash of their id, with their measured shares."""
     total = df.count()
     every = max(1, -(-total // spec.sample_docs))
-    sample = df.where(F.pmod(F.xxhash64(F.col(doc_id)), F.lit(every)) == 0).select(F.col(text).alias("text"))
-    num, den = spec.share
+    by_id, by_text = F.xxhash64(F.col(doc_id)), F.xxhash64(F.col(doc_id), F.col(text))
+    sample = df.where(F.pmod(by_id, F.lit(every)) == 0).orderBy(by_text).limit(2 * spec.sample_docs).select(F.col(text).alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            s = statistics(b["text"].tolist(), spec)
-            yield s[[*STATS]].assign(label=(den * s["n_repeated"] >= num * s["n_words"]) & (s["n_words"] > 0))
+            texts = b["text"].tolist()
+            words = Words(texts, spec)
+            s = statistics(texts, spec, words)
+            yield s[[*STATS]].assign(share=measured(texts, spec, words) / np.maximum(words.n, 1))
 
-    rows = sample.mapInPandas(run, ", ".join(f"{c} double" for c in STATS) + ", label boolean").limit(2 * spec.sample_docs).toPandas()
-    return train(rows[[*STATS]].to_numpy(float).reshape(-1, len(STATS)), rows["label"].to_numpy(float), list(STATS.values()), spec)
+    rows = sample.mapInPandas(run, ", ".join(f"{c} double" for c in (*STATS, "share"))).toPandas()
+    return train(rows[[*STATS]].to_numpy(float).reshape(-1, len(STATS)), rows["share"].to_numpy(float), list(STATS.values()), spec)
 
 
-def repetition(df: DataFrame, doc_id: str = "doc_id", text: str = "text", spec: RepetitionSpec = RepetitionSpec(), trees: FlatTrees | None = None) -> DataFrame:
+def repetition(df: DataFrame, doc_id: str = "doc_id", text: str = "text", spec: RepetitionSpec = RepetitionSpec(), trees: FlatTrees | None = None, shares: bool = True) -> DataFrame:
     """One row per document: doc_id, n_words, n_repeated, share, score, is_repetitive.
 
     Words are runs of letters without case; in texts of mostly kana and kanji each letter is one. n_repeated counts the
     words in a passage of at least six (twelve) words that began earlier in the same text; share = n_repeated / n_words,
-    zero without words (null, empty and blank texts). is_repetitive: the score reaches the bar and the exact check confirms a
-    share at or above the threshold. Repeated rows each give a row; an empty table gives none. Texts of any length are
-    processed whole.
+    zero without words (null, empty and blank texts). Without `shares` both are null for documents below the bar, which aren't
+    measured. is_repetitive: the score reaches the bar and the exact check confirms a share at or above the threshold. Repeated
+    rows each give a row; an empty table gives none. Texts of any length are processed whole.
     """
     src = df.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     trees = trees or fit(src, "doc_id", "text", spec)
     num, den = spec.share
-    bar = trees.lower_bound(list(STATS).index("passage_share"), num / den) - 1e-9
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for start in range(0, len(b), 1000):
                 part = b.iloc[start : start + 1000]
                 texts = part["text"].tolist()
-                s = statistics(texts, spec)
-                score = trees.score(s[[*STATS]].to_numpy(float))
-                repeated = s["n_repeated"].to_numpy().copy()
-                flagged = score >= bar
+                words = Words(texts, spec)
+                x = statistics(texts, spec, words)[[*STATS]].to_numpy(float)
+                score = trees.score(x)
+                flagged = score >= bars(trees, x, spec)
+                repeated = measured(texts, spec, words) if shares else np.zeros(len(texts), np.int64)
                 for i in np.flatnonzero(flagged):  # exact check of the selected
-                    words, letters = words_of(texts[i])
-                    repeated[i] = repeated_words(words, spec.passage_letters if letters else spec.passage_words)
-                flagged &= (den * repeated >= num * s["n_words"].to_numpy()) & (s["n_words"].to_numpy() > 0)
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "n_words": s["n_words"], "n_repeated": repeated, "share": repeated / np.maximum(s["n_words"].to_numpy(), 1), "score": score, "is_repetitive": flagged})
+                    mine, letters = words_of(texts[i])
+                    repeated[i] = repeated_words(mine, spec.passage_letters if letters else spec.passage_words)
+                count, share = pd.Series(repeated, dtype="Int64"), pd.Series(repeated / np.maximum(words.n, 1), dtype="Float64")
+                if not shares:
+                    count[~flagged], share[~flagged] = pd.NA, pd.NA
+                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "n_words": words.n, "n_repeated": count, "share": share, "score": score, "is_repetitive": flagged & (den * repeated >= num * words.n) & (words.n > 0)})
 
     return src.mapInPandas(run, "doc_id bigint, n_words bigint, n_repeated bigint, share double, score double, is_repetitive boolean")
