@@ -8,8 +8,10 @@ win again, since costs only add up over longer runs: the pruning rule), usually
 With 0/1 dissimilarity and weight > 2 the optimum is exactly the maximal runs of equal messages: a run with m events that
 differ from its representative splits into at most 2m + 1 uniform runs, which costs at most 2m more and saves weight * m.
 
-Scale: an entity is cut into time slices replayed by different tasks; settled runs are emitted at once, so that a task
-holds a few candidates only. Runs at the edges of slices are joined over the entity if they say the same.
+Scale: with 0/1 dissimilarity an entity is cut into time slices replayed by different tasks, and runs at the edges of slices are
+joined over the entity if they say the same: maximal runs don't depend on where they are cut. The optimum of graded dissimilarity
+does, so there (`near`) an entity is one sequence, streamed through one task. Settled runs are emitted at once; a candidate
+holds counts of the distinct messages since its start, not the events.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ class RunSpec:
     message: str = "logline"
     weight: float = 3.0
     near: bool = False  # dissimilarity as the share of differing words instead of 0/1
-    slice_seconds: int = 6 * 3600
+    slice_seconds: int = 6 * 3600  # without effect on the result
 
 
 def message_key(c: Column) -> Column:
@@ -65,26 +67,33 @@ class PrunedSegmentation:
         self.base = self.t = 0
         self.best = {0: 0.0}  # cost of the first s events, for starts still in use
         self.came: dict[int, int] = {}  # start of the last run of the best segmentation of the first t events
-        self.starts: list[list] = []  # start, n, costs by representative
+        self.starts: list[list] = []  # start, n, events by message (representatives), their costs
+        self.far: dict[tuple, float] = {}  # distances between messages since the last settled run
+
+    def _far(self, a, b) -> float:
+        if (d := self.far.get((a, b))) is None:
+            d = self.far[a, b] = self.far[b, a] = self.distance(a, b)
+        return d
 
     def push(self, message, event_id: int, us: int) -> list[tuple]:
         self.events.append((message, event_id, us))
-        self.starts.append([self.t, 0, {}])
+        self.starts.append([self.t, 0, {}, {}])
         self.t += 1
-        d, w, low, arg = self.distance, self.weight, None, 0
+        w, low, arg = self.weight, None, 0
         costs = []
         for s in self.starts:
-            reps = s[2]
-            if d is None:  # 0/1: a representative's cost is the number of the other events
-                reps[message] = reps.get(message, 0) + 1
-                s[1] += 1
-                c = w * (s[1] - max(reps.values())) if len(reps) > 1 else 0.0
+            seen, reps = s[2], s[3]
+            s[1] += 1
+            if self.distance is None:  # 0/1: a representative's cost is the number of the other events
+                seen[message] = seen.get(message, 0) + 1
+                c = w * (s[1] - max(seen.values())) if len(seen) > 1 else 0.0
             else:
                 if message not in reps:
-                    reps[message] = sum(d(m, message) for m, _, _ in self.events[s[0] - self.base : -1])
+                    reps[message] = sum(k * self._far(m, message) for m, k in seen.items())
                 for r in reps:
                     if r != message:
-                        reps[r] += d(message, r)
+                        reps[r] += self._far(message, r)
+                seen[message] = seen.get(message, 0) + 1
                 c = w * min(reps.values())
             c += self.best[s[0]]
             costs.append(c)
@@ -117,6 +126,7 @@ class PrunedSegmentation:
         self.base = upto
         self.came = {t: s for t, s in self.came.items() if t > upto}
         self.best = {s: c for s, c in self.best.items() if s >= upto}
+        self.far = {}
         return out
 
     def _says(self, run: list[tuple]):
@@ -125,7 +135,10 @@ class PrunedSegmentation:
             for m, _, _ in run:
                 counts[m] = counts.get(m, 0) + 1
             return max(counts, key=counts.get)
-        return min({r[0] for r in run}, key=lambda m: (sum(self.distance(m, r[0]) for r in run), m))
+        counts = {}
+        for m, _, _ in run:
+            counts[m] = counts.get(m, 0) + 1
+        return min(counts, key=lambda m: (sum(k * self._far(m, x) for x, k in counts.items()), m))
 
     def finish(self) -> list[tuple]:
         out = self._emit(self.t) if self.t > self.base else []
@@ -179,8 +192,8 @@ def collapse_runs(df: DataFrame, spec: RunSpec = RunSpec(), min_events: int = 1)
 
     Events are ordered by time, then event id; a repeated row (same key, time and id) counts once. Rows with null or blank
     key, null time, id or message take no part and interrupt no run; an empty message is a message. With `near` false the runs
-    are the longest stretches of equal messages (see message_key); with `near` true those of least cost within each time
-    slice, joined across slices where they say the same. An empty table gives no rows; other columns aren't read.
+    are the longest stretches of equal messages (see message_key); with `near` true those of least cost over the key's whole
+    sequence (of several, what the programme finds first). An empty table gives no rows; other columns aren't read.
     """
     e = df.select(
         F.col(spec.key).cast("string").alias("k"),
@@ -190,7 +203,8 @@ def collapse_runs(df: DataFrame, spec: RunSpec = RunSpec(), min_events: int = 1)
     )
     e = e.where(F.col("k").rlike(r"\S") & F.col("us").isNotNull() & F.col("id").isNotNull() & F.col("m").isNotNull())
     says = message_key(F.col("m"))
-    e = e.select("k", F.floor(F.col("us") / F.lit(spec.slice_seconds * MICROS)).cast("bigint").alias("slice"), "us", "id", (says if spec.near else F.xxhash64(says)).alias("says"))
+    piece = F.lit(0) if spec.near else F.floor(F.col("us") / F.lit(spec.slice_seconds * MICROS))
+    e = e.select("k", piece.cast("bigint").alias("slice"), "us", "id", (says if spec.near else F.xxhash64(says)).alias("says"))
     runs = e.repartition("k", "slice").sortWithinPartitions("k", "slice", "us", "id").mapInPandas(_segment(spec.weight, spec.near), SCHEMA.format(says="string" if spec.near else "bigint"))
     at = F.struct("slice", "start_us")
     aggs = [F.min_by("first_id", at).alias("first_id"), F.max_by("last_id", at).alias("last_id"), F.sum("n").alias("n"), F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us")]
