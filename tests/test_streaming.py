@@ -1,12 +1,14 @@
 """Streams against their batch forms."""
 
+import random
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from timberline.functions.timebuckets import bucket_start
 from timberline.operators.sessions import sessionize
-from timberline.streaming.sessions import stream_counts, stream_sessions, window_sessions
+from timberline.streaming.sessions import join_sessions, stream_counts, stream_sessions, window_sessions
 from timberline.streaming.templates import OnlineTemplates
 
 T0 = datetime(2024, 1, 1)
@@ -50,8 +52,40 @@ def test_counts_and_session_windows(spark, tmp_path):
     assert run(spark, window_sessions(src), "gaps", tmp_path).where("span_id = 'a'").count() == 2
 
 
-def test_online_templates(spark, tmp_path):
-    write_batches(spark, tmp_path, [[(1, at(0), "a", "open door 1"), (2, at(0), "a", "open door 2")], [(3, at(1), "a", "open door 3"), (4, at(1), "a", None)]])
-    t = OnlineTemplates()
-    t.start(spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in"), f"{tmp_path}/ck", row_id="record_id").awaitTermination(120)
-    assert t.templates() == ["open door *"]
+@pytest.mark.parametrize("seed", [1, 2])
+def test_timers_under_disorder(spark, tmp_path, seed):
+    """Shuffled micro-batches within the delay give the sessions of the table."""
+    rng = random.Random(seed)
+    rows = sorted(((i, at(m), k, "x") for i, (m, k) in enumerate((rng.randrange(600), rng.choice("abc")) for _ in range(120))), key=lambda r: r[1])
+    order = sorted(rows, key=lambda r: r[1] + timedelta(minutes=rng.randrange(170)))
+    parts = [order[i : i + 17] for i in range(0, len(order), 17)]
+    for p in parts:
+        rng.shuffle(p)
+    write_batches(spark, tmp_path, [*parts, [(999, at(5000), "end", "x")], [(1000, at(9000), "end2", "x")]])
+    src = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    got = [tuple(r) for r in run(spark, stream_sessions(src, delay="3 hours"), f"disorder{seed}", tmp_path).where("span_id not like 'end%'").select("span_id", "first_id", "last_id", "n_events").collect()]
+    want = {(r.span_id, r.first_id, r.last_id, r.n_events) for r in sessionize(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_events_that_bridge_sessions():
+    gap = 30
+    assert join_sessions([], [(0, 1), (40, 2), (20, 3)], gap) == [[0, 1, 40, 2, 3]]
+    assert join_sessions([[0, 1, 0, 1, 1], [61, 2, 61, 2, 1]], [(30, 3)], gap) == [[0, 1, 30, 3, 2], [61, 2, 61, 2, 1]]
+    assert join_sessions([[50, 1, 60, 2, 2]], [(10, 3), (20, 9)], gap) == [[10, 3, 60, 2, 4]]
+
+
+def test_online_templates_and_restart(spark, tmp_path):
+    lines = [["open door 1", "open door 2"], ["open door 3", None, "close all"], ["open gate 4", "close all"]]
+    write_batches(spark, tmp_path, [[(10 * i + j, at(i), "a", t) for j, t in enumerate(b)] for i, b in enumerate(lines[:2])])
+    src = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    OnlineTemplates(f"{tmp_path}/t").start(src, f"{tmp_path}/ck", row_id="record_id").awaitTermination(120)
+    write_batches(spark, tmp_path, [[(20 + j, at(2), "a", t) for j, t in enumerate(lines[2])]])
+    again = OnlineTemplates(f"{tmp_path}/t")  # another driver
+    again.start(src, f"{tmp_path}/ck", row_id="record_id").awaitTermination(120)
+    got = {(r.template, r.size) for r in again.templates(spark).collect()}
+    assert got == {("open door *", 3), ("open gate 4", 1), ("close all", 2)}
+    last = again._batches(spark)[-1]
+    again.feed(spark.createDataFrame([(20, at(2), "a", "open gate 4"), (21, at(2), "a", "close all")], SCHEMA), last, row_id="record_id")
+    assert {(r.template, r.size) for r in again.templates(spark).collect()} == got  # a batch that is run again
+    assert OnlineTemplates(f"{tmp_path}/none").templates(spark) is None
