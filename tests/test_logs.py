@@ -18,6 +18,7 @@ from timberline.operators.clean import clean, clean_bgl, clean_hdfs, clean_open_
 from timberline.operators.positions import with_position
 from timberline.parsing.ael import AELParams, ael
 from timberline.parsing.drain import DrainParams, TokenCountTree, drain
+from timberline.parsing.model import LogParser
 from timberline.parsing.iplom import IPLoMParams, iplom
 from timberline.plans import logs
 from timberline.record import LogRecord
@@ -282,6 +283,42 @@ def test_drain_rules(spark):
     assert sorted(c.template[0] for c in t.live.values()) == ["a", "c"]
 
 
+def test_templates_are_kept_and_applied(spark, tmp_path):
+    early, late = ["send 1 to a", "send 2 to a", "quit", ""], ["send 9 to a", "stop now", "quit"]
+    parser = LogParser("drain", {"depth": 4}).fit(lines(spark, early))
+    parser.save(spark, f"{tmp_path}/model")
+    again = LogParser.load(spark, f"{tmp_path}/model")
+    assert again.params == parser.params
+    assert [r.parsed_logline for r in again.match(lines(spark, late)).orderBy("_id").collect()] == ["send * to a", None, "quit"]
+    assert [r.parsed_logline for r in again.parse(lines(spark, late)).orderBy("_id").collect()] == ["send * to a", "stop now", "quit"]
+    whole = {(r.template, r.size) for r in LogParser("drain", {"depth": 4}).fit(lines(spark, early + late)).templates.collect()}
+    assert {(r.template, r.size) for r in again.templates.collect()} == whole
+    assert {r.parsed_logline for r in LogParser("ael").fit_parse(lines(spark, early)).collect()} == {r.parsed_logline for r in ael(lines(spark, early)).collect()}
+    with pytest.raises(ValueError):
+        LogParser("none")
+    with pytest.raises(ValueError):
+        LogParser().match(lines(spark, late))
+
+
+def test_remembered_lines_change_nothing():
+    rng, p = random.Random(3), DrainParams(depth=5, max_children=3, max_clusters=6)
+    texts = [" ".join(rng.choice(("a", "b", "c1", "dd", "7")) for _ in range(4)) for _ in range(3000)]
+    one, two = TokenCountTree(4, p), TokenCountTree(4, p)
+    assert [one.fit_line(t).number for t in texts] == [two.fit(t.split()).number for t in texts]
+    assert one.known and {c.number: (c.template, c.size, c.used) for c in one.live.values()} == {c.number: (c.template, c.size, c.used) for c in two.live.values()}
+
+
+def test_tfidf_terms(spark):
+    df = lines(spark, ["the disk is full", "disk full", "", None])
+    term = lambda **k: {(r._id, r.term) for r in vectorize.tfidf(df, **k).collect()}
+    assert term(ngram_range=(2, 2), stop_words=("the", "is")) == {(0, "disk full"), (1, "disk full")}
+    assert term(vocabulary=["full", "absent"], min_df=5) == {(0, "full"), (1, "full")}
+    assert term(min_df=0.5) == {(0, "disk"), (0, "full"), (1, "disk"), (1, "full")}
+    assert {t for i, t in term(analyzer="char", ngram_range=(8, 9)) if i == 1} == {"disk ful", "isk full", "disk full"}
+    with pytest.raises(ValueError):
+        vectorize.tfidf(df, analyzer="none")
+
+
 def test_drain_keeps_a_full_node_for_the_wildcard():
     t = TokenCountTree(3, DrainParams(depth=4, max_children=3, sim_th=0.9))
     for w in ("a", "b", "c", "d", "x1"):

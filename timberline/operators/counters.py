@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from timberline.functions.timebuckets import bucket_start, width_micros
 from timberline.operators.positions import with_position
 from timberline.operators.windows import _grouped, require
+from timberline.runtime import cut
 
 
 def group_counts(df: DataFrame, group_by: list[str] | None = None, group_by_time: str | None = None, ts: str = "timestamp") -> DataFrame:
@@ -102,7 +103,7 @@ def trend(df: DataFrame, width: str, ts: str = "timestamp", label: str = "left",
 
 def frequency(df: DataFrame, column: str, count: str = "counts") -> DataFrame:
     """Distinct values with count, ratio of all, and rank from 0 by falling count (ties by value)."""
-    c = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias(count))
+    c = cut(df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias(count)))
     total = c.agg(F.sum(count)).first()[0] or 1
     return with_position(c.withColumn("__o", -F.col(count)), ["__o", column], "order").select(column, count, (F.col(count) / F.lit(total)).alias("ratio"), "order")
 

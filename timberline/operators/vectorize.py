@@ -17,19 +17,44 @@ PAD, OOV = "<pad>", "<oov>"
 SPECIAL = ("[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]")
 
 
-def tfidf(df: DataFrame, text: str = "logline", row_id: str = "_id", token_pattern: str = r"(?u)\b\w\w+\b", lowercase: bool = True, norm: str | None = "l2", use_idf: bool = True, smooth_idf: bool = True, sublinear_tf: bool = False, binary: bool = False, min_df: int = 1, max_df: float = 1.0, max_features: int | None = None) -> DataFrame:
+def _grams(items: Column, least: int, most: int, glue: str) -> Column:
+    """Runs of least to most neighbouring items, joined."""
+    n = F.size(items)
+    of = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i: F.array_join(F.slice(items, i, F.lit(k)), glue))).otherwise(F.array().cast("array<string>"))
+    return F.concat(*[items if k == 1 else of(k) for k in range(least, most + 1)])
+
+
+def terms_of(c: Column, analyzer: str = "word", ngram_range: tuple[int, int] = (1, 1), stop_words: tuple[str, ...] = (), token_pattern: str = r"(?u)\b\w\w+\b") -> Column:
+    """The terms of a text: runs of words (without stop words), or of characters with white space as single blanks."""
+    if analyzer == "word":
+        words = F.regexp_extract_all(c, F.lit(java_regex(token_pattern)), F.lit(0))
+        if stop_words:
+            words = F.filter(words, lambda w: ~w.isin(*stop_words))
+        return _grams(words, *ngram_range, " ")
+    if analyzer == "char":
+        return _grams(F.filter(F.split(F.regexp_replace(c, r"\s+", " "), ""), lambda x: x != ""), *ngram_range, "")
+    raise ValueError(f"no analyzer {analyzer!r}; there are word and char")
+
+
+def tfidf(df: DataFrame, text: str = "logline", row_id: str = "_id", token_pattern: str = r"(?u)\b\w\w+\b", lowercase: bool = True, norm: str | None = "l2", use_idf: bool = True, smooth_idf: bool = True, sublinear_tf: bool = False, binary: bool = False, min_df: int | float = 1, max_df: int | float = 1.0, max_features: int | None = None, analyzer: str = "word", ngram_range: tuple[int, int] = (1, 1), stop_words: tuple[str, ...] | None = None, vocabulary: list[str] | None = None) -> DataFrame:
     """Sparse TF-IDF in long form: row id, term, tf, weight. Rows without terms have no entries.
 
-    idf = ln((1 + n) / (1 + df)) + 1 if smoothed, else ln(n / df) + 1, n counting all rows with text. max_features keeps the
-    terms that are most frequent in all (ties by term).
+    idf = ln((1 + n) / (1 + df)) + 1 if smoothed, else ln(n / df) + 1, n counting all rows with text. min_df and max_df are numbers
+    of rows, or shares of all if they are fractions. max_features keeps the terms that are most frequent in all (ties by
+    term). A given vocabulary keeps its terms only, and leaves the limits aside.
     """
     d = df.where(F.col(text).isNotNull())
     n = d.count()
     src = F.lower(text) if lowercase else F.col(text)
-    tf = d.select(row_id, F.explode(F.regexp_extract_all(src, F.lit(java_regex(token_pattern)), F.lit(0))).alias("term")).groupBy(row_id, "term").agg(F.count("*").alias("tf"))
+    tf = d.select(row_id, F.explode(terms_of(src, analyzer, tuple(ngram_range), tuple(stop_words or ()), token_pattern)).alias("term")).groupBy(row_id, "term").agg(F.count("*").alias("tf"))
+    if vocabulary is not None:
+        keep = df.sparkSession.createDataFrame([(v,) for v in sorted(set(vocabulary))], "term string")
+        tf = tf.join(keep, "term", "left_semi")
+        min_df, max_df, max_features = 1, 1.0, None
     if binary:
         tf = tf.withColumn("tf", F.lit(1).cast("bigint"))
-    terms = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("all")).where((F.col("df") >= min_df) & (F.col("df") <= max_df * n))
+    rows = lambda x: x * n if isinstance(x, float) else x
+    terms = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("all")).where((F.col("df") >= rows(min_df)) & (F.col("df") <= rows(max_df)))
     if max_features is not None:
         terms = terms.orderBy(F.col("all").desc(), "term").limit(max_features)
     idf = F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1 if smooth_idf else F.log(F.lit(float(n)) / F.col("df")) + 1

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from timberline.functions.text import split_at
 from timberline.parsing.common import finish, lines_of, mask
+from timberline.runtime import cut
 
 WILD = "<*>"
 
@@ -48,8 +49,10 @@ def iplom(df: DataFrame, params: IPLoMParams = IPLoMParams(), row_id: str = "_id
     length like any others. PST > 0: a part with a smaller share of its parent's lines becomes 'Outlier'. An empty table gives
     no rows.
     """
-    lines = lines_of(df, row_id, text).withColumn("toks", split_at(mask(F.col("line"), list(params.rex or ()), ""))).withColumn("n", F.size("toks"))
-    total = F.count("*")
+    rows = lines_of(df, row_id, text).withColumn("toks", split_at(mask(F.col("line"), list(params.rex or ()), "")))
+    # the distinct token lists with their numbers of lines are all that the steps need: written once, joined back at the end
+    lines = cut(rows.groupBy("toks").agg(F.count("*").alias("lines")).withColumn("n", F.size("toks")))
+    total = F.sum("lines")
     size1 = lines.groupBy("n").agg(total.alias("size1"))
     card = _cardinalities(lines, ["n"]).groupBy("n").agg(F.min(F.struct("card", "pos")).alias("c"))
     split2 = size1.join(card, "n", "left").select("n", "size1", F.when((F.col("c.card") > 1) & (F.col("size1") > params.step2Support), F.col("c.pos")).alias("p"))
@@ -57,7 +60,7 @@ def iplom(df: DataFrame, params: IPLoMParams = IPLoMParams(), row_id: str = "_id
     keys = ["n", "k2"]
     out = F.lit(False)
     if params.PST:
-        n_all = lines.count()
+        n_all = lines.agg(F.coalesce(F.sum("lines"), F.lit(0))).first()[0]
         size2 = lines.groupBy(*keys).agg(total.alias("size2"))
         lines = lines.join(size2, (lines["n"] == size2["n"]) & lines["k2"].eqNullSafe(size2["k2"]), "left").select(lines["*"], "size2")
         out = (F.col("size1") / (n_all + 1) < params.PST) | (F.col("k2").isNotNull() & (F.col("size2") / F.col("size1") < params.PST))
@@ -68,7 +71,7 @@ def iplom(df: DataFrame, params: IPLoMParams = IPLoMParams(), row_id: str = "_id
     tpl = tpl.select(*[F.col(k).alias(f"t_{k}") for k in keys], F.array_join(F.transform("t", lambda x: x["t"]), " ").alias("tt"))
     on = (F.col("n") == F.col("t_n")) & F.col("k2").eqNullSafe(F.col("t_k2")) & F.col("k3").eqNullSafe(F.col("t_k3"))
     res = lines.join(tpl, on, "left").withColumn("template", F.when(F.col("outlier"), F.lit("Outlier")).otherwise(F.coalesce("tt", F.lit(""))))
-    return finish(res, row_id, text)
+    return finish(rows.join(res.select("toks", "template"), "toks"), row_id, text)
 
 
 def _step3(lines: DataFrame, p: IPLoMParams) -> DataFrame:
@@ -92,8 +95,8 @@ def _step3(lines: DataFrame, p: IPLoMParams) -> DataFrame:
     pair = F.when(F.col("n") == 2, F.array(F.lit(0), F.lit(1))).when(general, F.slice(chosen, 1, 2))
     stats = stats.select(F.col("n").alias("s_n"), F.col("k2").alias("s_k2"), pair.alias("pair")).where(F.col("pair").isNotNull())
     lines = lines.join(stats, (F.col("n") == F.col("s_n")) & F.col("k2").eqNullSafe(F.col("s_k2")), "left").drop("s_n", "s_k2")
-    ab = lines.where(F.col("pair").isNotNull() & ~F.col("outlier")).select(*keys, F.get("toks", F.get("pair", F.lit(0))).alias("a"), F.get("toks", F.get("pair", F.lit(1))).alias("b"))
-    ab = ab.groupBy(*keys, "a", "b").agg(F.count("*").alias("c"))
+    ab = lines.where(F.col("pair").isNotNull() & ~F.col("outlier")).select(*keys, F.get("toks", F.get("pair", F.lit(0))).alias("a"), F.get("toks", F.get("pair", F.lit(1))).alias("b"), "lines")
+    ab = ab.groupBy(*keys, "a", "b").agg(F.sum("lines").alias("c"))
     wa, wb, wp = Window.partitionBy(*keys, "a"), Window.partitionBy(*keys, "b"), Window.partitionBy(*keys)
     ab = ab.withColumns({"bs": F.count("*").over(wa), "as": F.count("*").over(wb), "la": F.sum("c").over(wa), "lb": F.sum("c").over(wb)})
     ab = ab.withColumns({"pure_a": F.max("as").over(wa) == 1, "pure_b": F.max("bs").over(wb) == 1})

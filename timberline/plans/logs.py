@@ -12,11 +12,12 @@ from timberline.apps.clustering import LogClusters
 from timberline.apps.openset import OpenSetWorkflow
 from timberline.apps.summarize import LogSummary
 from timberline.config import AnomalyDetectionConfig, ClusteringConfig, FeatureExtractorConfig, LogParserConfig, OpenSetADWorkflowConfig, OpenSetPartitionerConfig, PreprocessorConfig, VectorizerConfig, WorkFlowConfig
+from timberline.functions import arrays as A
 from timberline.functions import text as T
 from timberline.operators import cluster, counters, detect, drill, encode, evaluate, splits, vectorize, windows
 from timberline.operators.clean import HDFS_RULES, clean, clean_hdfs, clean_open_set
 from timberline.parsing.ael import ael
-from timberline.parsing.drain import drain
+from timberline.parsing.drain import drain, fit_templates, match_templates
 from timberline.parsing.iplom import iplom
 from timberline.record import LogRecord
 from timberline.runtime import read
@@ -315,9 +316,15 @@ def scalar_functions(spark, d):
     )
 
 
-@query()
+@query(
+    _R
+    + r""", a as (select _id, logline, array_to_string(list_transform(regexp_extract_all(logline, '\p{L}+|\P{L}+'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), ' ') as x from r where logline is not null)
+        select _id, array_to_string(list_filter(string_split(x, ' '), lambda t: length(t) > 0 and instr('!"#$%&''()*+,-./:;<=>?@[\]^_`{|}~', t) = 0), ' ') as tokens,
+        array_to_string(list_transform(list_filter(regexp_split_to_array(logline, '\s+'), lambda t: t <> ''), lambda t: regexp_extract(lower(t), '(\w+|[^\w\s])', 1)), ' ') as words from a"""
+)
 def split_tokens(spark, d):
-    return records(spark, d).where("logline is not null").select("_id", T.split_alpha(F.col("logline")).alias("tokens"), F.transform(T.tokens(F.col("logline")), T.first_word).alias("words"))
+    words = F.transform(T.tokens(F.col("logline")), T.first_word)
+    return records(spark, d).where("logline is not null").select("_id", T.split_alpha(F.col("logline")).alias("tokens"), F.array_join(words, " ").alias("words"))
 
 
 # --- templates
@@ -381,6 +388,14 @@ def drain_templates(spark, d):
     return drain(records(spark, d)).select("_id", "parsed_logline", "parameter_list")
 
 
+@query()
+def drain_applied(spark, d):
+    """Templates fitted on the earlier lines, matched to all: null where they have none."""
+    r = records(spark, d)
+    templates = fit_templates(r.where("timestamp < timestamp '2024-02-01'"))
+    return match_templates(r, templates).select("_id", "parsed_logline")
+
+
 @query()
 def aligned_parameters(spark, d):
     p = drain(records(spark, d))
@@ -425,6 +440,18 @@ def tfidf(spark, d):
     return vectorize.tfidf(records(spark, d)).withColumn("weight", F.round("weight", 6))
 
 
+@query(
+    _R
+    + r""", w as (select _id, list_filter(regexp_extract_all(lower(logline), '\b\w\w+\b'), lambda t: t not in ('to', 'of', 'for')) as w from r where logline is not null),
+    t as (select _id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) as term from w), f as (select _id, term, count(*) as tf from t group by all),
+    i as (select term, ln((1.0 + (select count(*) from w)) / (1.0 + count(*))) + 1 as idf from f group by term having count(*) >= 5), w2 as (select _id, term, tf, (1 + ln(tf)) * idf as x from f join i using (term))
+    select _id, term, tf, round(x / sum(abs(x)) over (partition by _id), 6) as weight from w2"""
+)
+def tfidf_pairs(spark, d):
+    w = vectorize.tfidf(records(spark, d), ngram_range=(1, 2), stop_words=("to", "of", "for"), min_df=5, sublinear_tf=True, norm="l1")
+    return w.withColumn("weight", F.round("weight", 6))
+
+
 _VOCAB = r", v as (select token, row_number() over (order by token) + 1 as id from (select distinct trim(component) as token from r where component is not null))"
 
 
@@ -455,16 +482,27 @@ def whole_sequential_ids(spark, d):
     return vectorize.sequential(s, vectorize.line_vocabulary(records(spark, d))).select("_id", F.array_join("ids", ",").alias("ids"))
 
 
-@query()
+@query(
+    _R
+    + r""", w as (select _id, list_filter(regexp_split_to_array(lower(translate(coalesce(logline, ''), '!"#$%&''()*+,-./:;<=>?@[\]^_`{|}~', repeat(' ', 32))), '\s+'), lambda t: t <> '') as ws from r),
+        t as (select _id, unnest(ws) as token, generate_subscripts(ws, 1) as i from w), v as (select token, row_number() over (order by token) + 1 as id from (select distinct token from t)),
+        a as (select _id, list(id order by i) as ids from t join v using (token) where i <= 10 group by _id)
+        select _id, array_to_string(list_resize(coalesce(a.ids, []::bigint[]), 10, 0), ',') as ids from r left join a using (_id)"""
+)
 def semantic_ids(spark, d):
     r = records(spark, d)
-    return vectorize.semantic_ids(r, vectorize.word_vocabulary(r))
+    return vectorize.semantic_ids(r, vectorize.word_vocabulary(r)).select("_id", F.array_join("ids", ",").alias("ids"))
 
 
-@query()
+@query(
+    r"""with w as (select seq_id, list_filter(regexp_split_to_array(coalesce(logline, ''), '\s+'), lambda t: t not in ('', '[PAD]', '[UNK]', '[CLS]', '[SEP]', '[MASK]')) as ws from log_sequences),
+    t as (select seq_id, unnest(ws) as token, generate_subscripts(ws, 1) as i from w), top as (select token from t group by token order by count(*) desc, token limit 5000),
+    v as (select token, row_number() over (order by token) + 4 as id from top), a as (select seq_id, list(coalesce(id, 1) order by i) as ids from t left join v using (token) where i <= 382 group by seq_id)
+    select seq_id as _id, array_to_string(list_concat(list_concat([2], coalesce(a.ids, []::bigint[])), [3]), ',') as ids from log_sequences left join a using (seq_id)"""
+)
 def token_ids(spark, d):
     s = read(spark, d, "log_sequences").select(F.col("seq_id").alias("_id"), "logline")
-    return vectorize.token_ids(s)
+    return vectorize.token_ids(s).select("_id", F.array_join("ids", ",").alias("ids"))
 
 
 @query()
@@ -477,11 +515,19 @@ def subword_vectors(spark, d):
     return vectorize.subword_vectors(ael(records(spark, d)), "parsed_logline")
 
 
-@query()
+@query(
+    _R
+    + _VOCAB
+    + """, i as (select r.*, coalesce(v.id, 1) as id from r left join v on trim(coalesce(r.component, '')) = v.token),
+        w as (select span_id, _id, id, row_number() over u as k, count(*) over (partition by span_id) as n, list(case when component is not null then id end) over (u rows between 5 preceding and 1 preceding) as ids,
+        max(coalesce(labels, 0)) over (u rows between 5 preceding and current row) as lab from i where span_id is not null window u as (partition by span_id order by _id))
+        select span_id as session_idx, array_to_string(list_resize(case when len(coalesce(list_filter(ids, lambda x: x is not null), [])) = 0 then [1] else list_filter(ids, lambda x: x is not null) end, 5, 0), ',') as features,
+        lab as window_anomalies, id as window_labels from w where k > 5 or (n <= 5 and k = n)"""
+)
 def next_line_dataset(spark, d):
     r = records(spark, d)
     w = windows.sliding_windows(r, 5, "component", group_by=["span_id"], exclude_last_window=True, exclude_smaller_windows=True, label="labels")
-    return vectorize.next_line_dataset(w, vectorize.line_vocabulary(r, "component"), max_token_len=5)
+    return vectorize.next_line_dataset(w, vectorize.line_vocabulary(r, "component"), max_token_len=5).withColumn("features", F.array_join("features", ","))
 
 
 # --- clusters and detectors
@@ -496,7 +542,17 @@ def kmeans(spark, d):
     return cluster.kmeans(_embeddings(spark, d), n_clusters=8, max_iter=50)
 
 
-@query()
+@query(
+    """with recursive e as (select vec_id, embedding::double[] as v from embeddings where embedding is not null),
+    p as (select v, count(*) as w, row_number() over (order by v) - 1 as p from e group by v),
+    m as (select a.p as x, b.p as y, b.w from p a join p b on list_distance(a.v, b.v) <= sqrt(0.36 + 1e-9)),
+    n as (select x, sum(w) >= 5 as core from m group by x),
+    l as (select m.x, m.y from m join n a on m.x = a.x and a.core join n b on m.y = b.x and b.core),
+    r as (select x, x as y from n where core union select r.x, l.y from r join l on r.y = l.x),
+    c as (select x, min(y) as c from r group by x),
+    g as (select x, c from c union all select m.x, min(c.c) from m join n on m.x = n.x and not n.core join c on m.y = c.x group by m.x)
+    select vec_id as _id, coalesce(cast(g.c as varchar), '-1') as cluster_id from e join p using (v) left join g on p.p = g.x"""
+)
 def dbscan(spark, d):
     return cluster.dbscan(_embeddings(spark, d), eps=0.6, min_samples=5)
 
@@ -567,7 +623,12 @@ def chronological_split(spark, d):
     return splits.chronological_split(records(spark, d).where("timestamp is not null").select("_id", "timestamp"), ["timestamp", "_id"]).select("_id", "is_train")
 
 
-@query()
+@query(
+    _R
+    + """, p as (select span_id, max(case when labels = 1 then 1 else 0 end) as pos, count(*) as n from r where span_id is not null group by 1),
+        u as (select *, (('0x' || substr(md5(concat_ws('|', span_id, pos, 7)), 1, 8))::bigint % 1000000) / 1000000.0 as u from p)
+        select case when u < 0.7 then 'train' when u < 0.7 + 0.1 then 'dev' else 'test' end as split, sum(n)::bigint as rows, count(*) as spans from u group by 1"""
+)
 def span_split(spark, d):
     return splits.span_split(records(spark, d)).groupBy("split").agg(F.count("*").alias("rows"), F.count_distinct("span_id").alias("spans"))
 
@@ -587,6 +648,44 @@ def auroc(spark, d):
     return evaluate.auroc(r, "labels", "s").withColumn("auroc", F.round("auroc", 9))
 
 
+@query(_R + " select round(exp(avg(length(logline) / 50.0)), 9) as perplexity from r where logline is not null")
+def perplexity(spark, d):
+    return evaluate.perplexity(records(spark, d).where("logline is not null").withColumn("loss", F.length("logline") / 50.0), "loss").withColumn("perplexity", F.round("perplexity", 9))
+
+
+@query(_R + " select span_id, max((length(logline) > 80)::int) as prediction, max((labels > 0)::int) as label from r where span_id is not null and logline is not null and labels is not null group by 1")
+def session_predictions(spark, d):
+    r = records(spark, d).where("span_id is not null and logline is not null and labels is not null").withColumn("z", (F.length("logline") > 80).cast("int"))
+    return evaluate.session_predictions(r, "span_id", "z", "labels")
+
+
+@query(_R + " select component, array_to_string(list(_id order by _id), ',') as event_index from r where component is not null and severity_text = 'FATAL' group by 1")
+def group_index(spark, d):
+    r = records(spark, d).where("component is not null and severity_text = 'FATAL'")
+    return counters.group_index(r, ["component"]).select("component", F.array_join("event_index", ",").alias("event_index"))
+
+
+@query(
+    """with e as (select vec_id, list_transform(embedding[1:8], lambda x: cast(x as double)) as v from embeddings where embedding is not null),
+    x as (select *, list_transform(v, lambda x: exp(x - list_max(v))) as e from e), p as (select *, list_transform(e, lambda x: x / list_sum(e)) as p from x)
+    select vec_id as _id, round(list_sum(list_transform(p, lambda x: -x * ln(x))), 6) as entropy, round(ln(p[1]), 6) as log_probability, list_position(v, list_max(v)) - 1 as best, v[1] >= list_sort(v, 'DESC')[3] as in_first_three from p"""
+)
+def array_scores(spark, d):
+    e = read(spark, d, "embeddings").where("embedding is not null").select(F.col("vec_id").alias("_id"), F.slice(F.col("embedding").cast("array<double>"), 1, 8).alias("v"))
+    p = e.withColumn("p", A.softmax(F.col("v")))
+    return p.select("_id", F.round(A.entropy(F.col("p")), 6).alias("entropy"), F.round(A.log_probability(F.col("p"), F.lit(0)), 6).alias("log_probability"), F.get(A.top_k(F.col("v"), 1), F.lit(0)).alias("best"), A.in_top_k(F.col("v"), F.lit(0), 3).alias("in_first_three"))
+
+
+@query(
+    """with s as (select event_id, list_transform(range(1, 6), lambda i: (event_id * i) % 97) as ids from events)
+    select event_id as _id, array_to_string(list_transform(range(0, 5, 2), lambda s: array_to_string(list_transform(range(0, 5), lambda i: case when i >= s and i < s + 2 then -1 else ids[i + 1] end), ',')), ';') as windows from s"""
+)
+def masked_windows(spark, d):
+    e = read(spark, d, "events").select(F.col("event_id").alias("_id"), F.transform(F.sequence(F.lit(1), F.lit(5)), lambda i: F.col("event_id") * i % 97).alias("ids"))
+    w = A.masked_windows(F.col("ids"), -1, 2)
+    return e.select("_id", F.array_join(F.transform(w, lambda x: F.array_join(x, ",")), ";").alias("windows"))
+
+
 # --- applications
 
 

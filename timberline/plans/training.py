@@ -52,7 +52,36 @@ def p7_grid(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_sessions, p2_found, p2_entries, p3_found, p7_found, p7_grid)}
 
+# The layouts of the lines as plain expressions: (expression, group of the severity or 0, group of the component).
+_HEADS = (
+    (r"^\d{6} \d{6}\s+\d+ +(\S+) +([^\s:]+):(\s|$)", 1, 2),
+    (r"^\S+ \d+ \d{4}\.\d\d\.\d\d \S+ \d{4}-\d\d-\d\d-\d\d\.\d\d\.\d\d\.\d+ \S+ (\S+) +([A-Z]+)(\s|$)", 2, 1),
+    (r"^\d{8}-\d+:\d+:\d+:\d+\|([^|]+)\|\d+\|", 0, 1),
+    (r"^[A-Z][a-z]{2} +\d+ \d\d:\d\d:\d\d \S+ ([^\s\[]+)\[\d+\]:(\s|$)", 0, 1),
+    (r"^\[\d\d/[A-Z][a-z]{2}/\d{4}:\d\d:\d\d:\d\d [+-]\d{4}\] \[([^\]]+)\] \[([^\]]+)\](\s|$)", 1, 2),
+    (r'^ts=\d{4}-\d\d-\d\dT\S+Z level=(\S+) logger=(\S+) msg="', 1, 2),
+    (r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d,\d+ - (\S+) - (\S+) -(\s|$)", 2, 1),
+    (r"^([a-z]+): \d\d\.\d\d\.\d{4} \d\d:\d\d:\d\d; ([^;]+);", 1, 2),
+)
+
+
+def _head_sql() -> str:
+    """k (layout), severity and component of a line t."""
+    k = " ".join(f"when regexp_matches(t, '{x}') then {i}" for i, (x, _, _) in enumerate(_HEADS))
+    sev = " ".join(f"when {i} then regexp_extract(t, '{x}', {g})" for i, (x, g, _) in enumerate(_HEADS) if g)
+    com = " ".join(f"when {i} then regexp_extract(t, '{x}', {g})" for i, (x, _, g) in enumerate(_HEADS))
+    return rf"""
+        l as (select min(line_id) as id, file_name as f, line_no as no, regexp_replace(coalesce(arg_min(raw_text, line_id), ''), '^\x{{FEFF}}', '') as t from raw_lines where file_name is not null and line_no is not null group by file_name, line_no),
+        j as (select *, case when t like '{{%' then try_cast(t as json) end as o from l),
+        k as (select *, case {k} when o->>'time' is not null and o->>'mod' is not null then 9 end as k from j),
+        h as (select *, case k {sev} when 9 then coalesce(o->>'lvl', '') when null then null else '' end as sev, case k {com} when 9 then o->>'mod' end as com from k)"""
+
+
 ORACLE = {
+    "p2_found": "with"
+    + _head_sql()
+    + r""", g as (select *, count(k) over (partition by f order by no) as g from h)
+        select arg_min(id, no) as first_line_id, arg_max(id, no) as last_line_id, trim(regexp_replace(arg_min(sev, no), '\x1b\[[0-9;]*m', '', 'g'), ' []') as severity_text, trim(arg_min(com, no), ' []') as component from g where g > 0 group by f, g""",
     "p1_found": r"""
         with e as (select distinct span_id, ts, record_id from log_records where regexp_matches(span_id, '\S') and ts is not null and record_id is not null),
         f as (select *, case when ts - lag(ts) over w <= interval 30 minute then 0 else 1 end as fresh from e window w as (partition by span_id order by ts, record_id)),

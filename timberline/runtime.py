@@ -44,13 +44,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where that is unset, as in tests."""
+    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where that is unset and all is one machine, as in
+    tests. On a cluster without it RuntimeError: a folder of the driver's machine would be of no use to the executors."""
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if shared:
         return shared
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors reach")
     own = tempfile.mkdtemp(prefix="timberline-checkpoint-")
     spark.sparkContext.setCheckpointDir(own)
     return own
