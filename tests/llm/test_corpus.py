@@ -10,12 +10,13 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tests.llm import brute
-from timberline.llm import mixing, queries
-from timberline.llm.overlap import coverage, cross_split_pairs, within_edits
-from timberline.llm.repetition import STATS, RepetitionSpec, repeated_words, repetition, statistics, train, words_of
+from timberline.llm import mixing, overlap, queries
+from timberline.llm.overlap import SuffixSpec, coverage, cross_split_pairs, overlap_classes, texts_of, within_edits
+from timberline.llm.repetition import STATS, RepetitionSpec, Words, bars, measured, repeated_words, repetition, statistics, train, words_of
 from timberline.llm.runs import PrunedSegmentation, RunSpec, collapse_runs, word_distance
 from timberline.llm.splits import connected_components, place, related_pairs, stratified_split
 from timberline.llm.tokens import TOKENIZER_DIR, PairIndexEncoder, encode_corpus
+from timberline.runtime import cut
 
 T0 = datetime(2024, 1, 1)
 
@@ -99,6 +100,54 @@ def test_pairs_edge_cases(spark):
     assert cross_split_pairs(df.limit(0)).count() == 0 and coverage(df.limit(0)).count() == 0
 
 
+def candidates(spark, rows, spec=SuffixSpec()):
+    texts = texts_of(overlap._read(spark.createDataFrame(rows, SEQ), "seq_id", "split_name", "logline", "train", ("dev", "test")))
+    other, train_ = texts.where("in_other").select("tid", "h"), texts.where("in_train").select("tid", "h")
+    counts = overlap._summed(other.mapInArrow(overlap._sketch(spec.segments), "cell int, c bigint"), len(spec.segments))
+    segments = cut(train_.mapInArrow(overlap._rare_segments(spec, counts), overlap.SUFFIX_SCHEMA))
+    seen = overlap._summed(segments.select("bucket").mapInArrow(overlap._bucket_sketch, "cell int, c bigint"))
+    return segments.count(), other.mapInArrow(overlap._searched_suffixes(spec, counts, seen), overlap.SUFFIX_SCHEMA).count()
+
+
+def test_texts_of_one_beginning_stay_apart(spark):
+    """Templated texts: a common beginning of three fifths, in equal length. What meets grows with the texts, not their square."""
+    rng, sizes = random.Random(2), []
+    for n in (1000, 4000):
+        rows = [(i, "train" if i % 2 else "dev", "a common beginning of every text here in this table of logs " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(8)), "d", None) for i in range(n)]
+        sizes.append(candidates(spark, rows))
+    assert sum(sizes[1]) <= 8 * max(sum(sizes[0]), 100)
+    rows += [(10_000, "train", rows[0][2], "d", None), (10_001, "train", rows[2][2] + " more", "d", None)]
+    assert found(cross_split_pairs(spark.createDataFrame(rows, SEQ)).select("seq_a", "seq_b")) == {(0, 10_000), (2, 10_001)}
+
+
+def test_large_partitions_are_divided(spark):
+    """The pairs don't depend on the bound of a partition's rows."""
+    rng = random.Random(4)
+    words_ = ["one", "two", "three"]
+    rows = [(i, rng.choice(("train", "dev")), " ".join(rng.choice(words_) if k % 6 == 0 else "same" for k in range(20)), "d", None) for i in range(150)]
+    df = spark.createDataFrame(rows, SEQ)
+    a, b = (found(cross_split_pairs(df, spec=SuffixSpec(bucket_rows=n)).select("seq_a", "seq_b")) for n in (20_000, 3))
+    assert a == b == brute.near_pairs([r[:3] for r in rows])
+    c, d = ({(r.seq_id, r.covered_words) for r in coverage(df, spec=SuffixSpec(bucket_rows=n)).collect()} for n in (20_000, 3))
+    assert c == d and len(c) == sum(r[1] == "dev" for r in rows)
+
+
+@pytest.mark.parametrize("span", [3, 12, 13, 30])
+def test_coverage_of_any_least_span(spark, span):
+    shared = [f"s{i}" for i in range(40)]
+    rows = [(1, "train", " ".join(shared), "d", None), (2, "dev", " ".join([*shared, "x"]), "d", None), (3, "dev", " ".join(shared[: span - 1]), "d", None)]
+    got = {r.seq_id: r.covered_words for r in coverage(spark.createDataFrame(rows, SEQ), spec=SuffixSpec(min_span=span)).collect()}
+    assert got == {2: 40, 3: 0}
+
+
+def test_classes(spark):
+    rows = [(i, "train" if i % 3 else "dev", "same words here again", "d", None) for i in range(60)] + [(99, "dev", "another text", "d", None)]
+    classes, members = overlap_classes(spark.createDataFrame(rows, SEQ))
+    assert found(classes) == {(0, 0, 0)}
+    assert {(r.class_id, r.n_links) for r in members.where("seq_id < 60").collect()} == {(0, 1)} and members.count() == 61
+    assert members.where("seq_id = 99").first().n_links == 0
+
+
 def test_hot_copies(spark):
     """A third of all rows is one text."""
     rows = [(i, "train" if i % 3 else "dev", "same words here again", "d", None) for i in range(60)] + [(100 + i, "train" if i % 2 else "test", f"text {i} of its own", "d", None) for i in range(120)]
@@ -195,6 +244,31 @@ def test_near_runs(spark):
     assert out == [(0, 6), (7, 8)]
 
 
+@pytest.mark.parametrize("near", [False, True])
+def test_runs_do_not_depend_on_slices(spark, near):
+    rng, rows, want = random.Random(11), [], {}
+    kinds = ["disk full on alpha now", "disk full on beta now", "disk full on gamma", "link up", "link down again", "link up again"]
+    for k in range(25):
+        base = rng.choice(kinds)
+        for i in range(40):
+            base = rng.choice(kinds) if rng.random() < 0.3 else base
+            rows.append((100 * k + i, T0 + timedelta(minutes=11 * i), f"s{k}", base if rng.random() < 0.8 else rng.choice(kinds[:3]), ""))
+        mine = [r[3] for r in rows[-40:]]
+        cost = lambda i, j, mine=mine: 1 + 3.0 * min(sum((word_distance(m, r) if near else float(m != r)) for m in mine[i:j]) for r in set(mine[i:j]))
+        best = [0.0] + [float("inf")] * 40
+        for j in range(1, 41):
+            best[j] = min(best[i] + cost(i, j) for i in range(j))
+        want[f"s{k}"] = (best[-1], cost)
+    df, out = spark.createDataFrame(rows, LOG), []
+    for hours in (1, 3, 48):
+        got = collapse_runs(df, RunSpec(near=near, slice_seconds=3600 * hours)).collect()
+        out.append({(r.span_id, r.first_id, r.last_id, r.n_events) for r in got})
+        for k, (least, cost) in want.items():
+            mine = sorted((r.first_id % 100, r.last_id % 100) for r in got if r.span_id == k)
+            assert sum(cost(a, b + 1) for a, b in mine) == pytest.approx(least)
+    assert out[0] == out[1] == out[2]
+
+
 TEXTS = ["", " ", "\n\n  x", "hello hello", "<|endoftext|> a", "naïve café — „ß“", "日本語のテキスト", "ппппппп", "aaaaaaaaaaaaaaaa", "  tab\t\x1c\x85", "😀👍🏽", "x" * 5000, "don't WE'LL I'm", "123 456,789", "é́"]
 
 
@@ -287,14 +361,16 @@ SPEC = RepetitionSpec()
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text("ab c.\nÄ日の1", max_size=120), max_size=4))
 def test_statistics_equal_exact_counts(texts):
-    s = statistics(texts, SPEC)
-    for t, n, r in zip(texts, s["n_words"], s["n_repeated"]):
+    s, repeated = statistics(texts, SPEC), measured(texts, SPEC)
+    for t, n, r, pairs, distinct in zip(texts, s["n_words"], repeated, s["pair_share"], s["distinct_ratio"]):
         assert (n, r) == brute.repeated(t)
+        if n:  # what the bar rests on
+            assert pairs >= r / n * 5 / 6 - 1e-12 and distinct <= 1 - r / n + 1e-12
         w, cjk = words_of(t)
         assert repeated_words(w, 12 if cjk else 6) == r
 
 
-def test_trees_are_monotonic_and_bounded():
+def test_trees_are_monotonic():
     rng = np.random.default_rng(0)
     x = rng.random((3000, 3))
     y = ((x[:, 0] + 0.3 * rng.random(3000) > 0.7) & (x[:, 1] < 0.9)).astype(float)
@@ -304,20 +380,22 @@ def test_trees_are_monotonic_and_bounded():
         hi = base.copy()
         hi[:, j] = np.minimum(1, hi[:, j] + 0.3)
         assert (sign * (t.score(hi) - t.score(base)) >= -1e-9).all()
-    inside = base[base[:, 0] >= 0.6]
-    assert t.score(inside).min() >= t.lower_bound(0, 0.6) - 1e-9
-    p = t.score(x) > 0
+    p = t.score(x) > 0.5
     assert (p == y).mean() > 0.9
 
 
-def test_held_out_accuracy(spark, tiny):
-    """The trees alone, without the exact check, tell repetitive documents of other rows."""
-    rows = table(tiny.replace("sf0.001", "sf0.01"), "select text from '@/documents.parquet'")
-    s = statistics([r[0] for r in rows], SPEC)
-    x, y = s[[*STATS]].to_numpy(float), (10 * s["n_repeated"] >= 3 * s["n_words"]) & (s["n_words"] > 0)
+def test_held_out_accuracy(tiny):
+    """On documents the trees haven't seen, and whose repeated share they are not told: the bar loses none, and passes few others."""
+    rows = table(tiny.replace("sf0.001", "sf0.1"), "select text from '@/documents.parquet'")
+    texts = [r[0] for r in rows]
+    s, n, r = statistics(texts, SPEC), Words(texts, SPEC).n, measured(texts, SPEC)
+    x, y = s[[*STATS]].to_numpy(float), (10 * r >= 3 * n) & (n > 0)
     half = np.arange(len(x)) % 2 == 0
-    t = train(x[half], y[half].to_numpy(float), list(STATS.values()), SPEC)
-    assert ((t.score(x[~half]) > 0) == y[~half]).mean() > 0.98
+    t = train(x[half], (r / np.maximum(n, 1))[half], list(STATS.values()), SPEC)
+    score = t.score(x[~half])
+    assert ((score >= 0.3) == y[~half]).mean() > 0.99
+    passed = score >= bars(t, x[~half], SPEC)
+    assert passed[y[~half]].all() and passed.mean() < 0.25
 
 
 def test_repetition_edge_cases(spark):
@@ -325,4 +403,5 @@ def test_repetition_edge_cases(spark):
     df = docs(spark, [(1, None, "", ""), (2, "", "", ""), (3, " \n", "", ""), (4, once, "", ""), (5, f"{once}. {once.upper()}!", "", ""), (6, "あいうえおかきくけこさし" * 2, "", ""), (7, "1 2 3", "", ""), (8, f"{once} " * 3000, "", "")])
     got = {r.doc_id: (r.n_words, r.n_repeated, r.is_repetitive) for r in repetition(df).collect()}
     assert got == {1: (0, 0, False), 2: (0, 0, False), 3: (0, 0, False), 4: (10, 0, False), 5: (20, 10, True), 6: (24, 12, True), 7: (0, 0, False), 8: (30000, 29990, True)}
+    assert {r.doc_id for r in repetition(df, shares=False).where("is_repetitive").collect()} == {5, 6, 8}
     assert repetition(df.limit(0)).count() == 0

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timberline.llm.mixing import mix
-from timberline.llm.overlap import coverage, cross_split_pairs, overlap_report
+from timberline.llm.overlap import coverage, cross_split_pairs, overlap_classes, overlap_report
 from timberline.llm.repetition import repetition
-from timberline.llm.runs import collapse_runs
-from timberline.llm.splits import related_pairs, split_report, stratified_split
+from timberline.llm.runs import RunSpec, collapse_runs
+from timberline.llm.splits import related_pairs, span_classes, split_report, stratified_split
 from timberline.llm.tokens import encode_corpus
 from timberline.runtime import read
 
@@ -26,10 +26,23 @@ def p4_coverage(spark: SparkSession, d: str) -> DataFrame:
     return coverage(read(spark, d, "log_sequences"))
 
 
+def p4_classes(spark: SparkSession, d: str) -> DataFrame:
+    return overlap_classes(read(spark, d, "log_sequences"))[0]
+
+
+def p4_members(spark: SparkSession, d: str) -> DataFrame:
+    return overlap_classes(read(spark, d, "log_sequences"))[1]
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return related_pairs(read(spark, d, "log_sequences"))
 
 
+def p5_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Spans with their class, named after its least span: what p5_found lists as pairs."""
+    return span_classes(read(spark, d, "log_sequences"))
+
+
 def p5_split(spark: SparkSession, d: str) -> DataFrame:
     return stratified_split(read(spark, d, "log_sequences"))
 
@@ -48,6 +61,11 @@ def p6_runs(spark: SparkSession, d: str) -> DataFrame:
     return collapse_runs(read(spark, d, "log_records"))
 
 
+def p6_near(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of nearly the same message: those of least cost over each span."""
+    return collapse_runs(read(spark, d, "log_records"), RunSpec(near=True))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(read(spark, d, "documents"))
 
@@ -61,14 +79,14 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return repetition(read(spark, d, "documents")).where("is_repetitive").select("doc_id")
+    return repetition(read(spark, d, "documents"), shares=False).where("is_repetitive").select("doc_id")
 
 
 def p10_repetition(spark: SparkSession, d: str) -> DataFrame:
     return repetition(read(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_report, p4_coverage, p5_found, p5_split, p5_report, p6_found, p6_runs, p8_ids, p9_sample, p9_shares, p10_found, p10_repetition)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_report, p4_coverage, p4_classes, p4_members, p5_found, p5_classes, p5_split, p5_report, p6_found, p6_runs, p6_near, p8_ids, p9_sample, p9_shares, p10_found, p10_repetition)}
 
 _RUNS = r"""
     with e as (select distinct span_id, ts, record_id, logline from log_records where regexp_matches(span_id, '\S') and ts is not null and record_id is not null and logline is not null),
@@ -76,17 +94,27 @@ _RUNS = r"""
     f as (select *, case when says = lag(says) over w then 0 else 1 end as fresh from m window w as (partition by span_id order by ts, record_id)),
     g as (select *, sum(fresh) over (partition by span_id order by ts, record_id) as n from f)"""
 
-ORACLE = {
-    "p6_found": _RUNS + " select span_id, arg_min(record_id, (ts, record_id)) as first_record_id, arg_max(record_id, (ts, record_id)) as last_record_id from g group by span_id, n having count(*) >= 3",
-    "p6_runs": _RUNS
-    + """ select span_id, arg_min(record_id, (ts, record_id)) as first_id, arg_max(record_id, (ts, record_id)) as last_id, min(ts) as start_ts, max(ts) as end_ts,
-        epoch_us(max(ts)) - epoch_us(min(ts)) as duration_us, count(*) as n_events from g group by span_id, n""",
-    "p5_found": r"""
+_SPANS = r"""
         with recursive p as (select distinct span_id, lower(trim(span_id)) as name, case when regexp_matches(trace_id, '[\p{L}1-9]') and lower(trim(trace_id)) not in ('n/a', 'na', 'none', 'null', 'nil', 'nan', 'unknown', 'undefined', 'missing', 'empty', 'notrace', 'no trace', 'no-trace', 'no_trace') then trace_id end as t
             from log_sequences where span_id is not null),
         l as (select distinct a.name as x, b.name as y from p a join p b on a.t = b.t),
         r as (select distinct name as x, name as y from p union select r.x, l.y from r join l on r.y = l.x),
         c as (select x, min(y) as c from r group by x),
-        s as (select distinct span_id, c from p join c on p.name = c.x)
-        select a.span_id as span_a, b.span_id as span_b from s a join s b on a.c = b.c and a.span_id < b.span_id""",
+        s as (select distinct span_id, c from p join c on p.name = c.x)"""
+
+ORACLE = {
+    "p6_found": _RUNS + " select span_id, arg_min(record_id, (ts, record_id)) as first_record_id, arg_max(record_id, (ts, record_id)) as last_record_id from g group by span_id, n having count(*) >= 3",
+    "p6_runs": _RUNS
+    + """ select span_id, arg_min(record_id, (ts, record_id)) as first_id, arg_max(record_id, (ts, record_id)) as last_id, min(ts) as start_ts, max(ts) as end_ts,
+        epoch_us(max(ts)) - epoch_us(min(ts)) as duration_us, count(*) as n_events from g group by span_id, n""",
+    "p10_found": r"""
+        with w as (select doc_id, regexp_extract_all(lower(text), '\p{L}+') as ws, len(regexp_extract_all(lower(text), '[\p{Hiragana}\p{Katakana}\p{Han}ー]')) as cjk from documents where text is not null),
+        c as (select doc_id, ws, 2 * cjk > length(array_to_string(ws, '')) as single from w where len(ws) > 0),
+        v as (select doc_id, case when single then string_split(array_to_string(ws, ''), '') else ws end as ws, case when single then 12 else 6 end as k from c),
+        g as (select doc_id, k, i, array_to_string(ws[i : i + k - 1], ' ') as g from (select *, unnest(range(1, len(ws) - k + 2)) as i from v)),
+        a as (select doc_id, k, i from (select *, row_number() over (partition by doc_id, g order by i) as n from g) where n > 1),
+        r as (select doc_id, count(distinct p) as r from (select doc_id, unnest(range(i, i + k)) as p from a) group by doc_id)
+        select doc_id from r join v using (doc_id) where 10 * r >= 3 * len(ws)""",
+    "p5_classes": _SPANS + " select distinct span_id, min(span_id) over (partition by c) as class_id from s",
+    "p5_found": _SPANS + " select a.span_id as span_a, b.span_id as span_b from s a join s b on a.c = b.c and a.span_id < b.span_id",
 }

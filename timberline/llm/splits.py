@@ -83,6 +83,13 @@ def entity_components(df: DataFrame, entity: str = "span_id", trace: str = "trac
     return pairs.select("entity", "name").distinct().join(cc, "name", "left").select("entity", F.coalesce("component", "name").alias("component"))
 
 
+def span_classes(df: DataFrame, entity: str = "span_id", trace: str = "trace_id") -> DataFrame:
+    """span_id (as written) and class_id, the least of the spans that belong together: one row per span, however many are related."""
+    c = entity_components(df, entity, trace)
+    least = c.groupBy("component").agg(F.min("entity").alias("class_id"))
+    return c.join(least, "component").select(F.col("entity").alias("span_id"), "class_id")
+
+
 def related_pairs(df: DataFrame, entity: str = "span_id", trace: str = "trace_id") -> DataFrame:
     """Every pair of different entities, as written, of one component: span_a < span_b in byte order."""
     c = entity_components(df, entity, trace)
@@ -114,6 +121,16 @@ def place(vectors: np.ndarray, need: np.ndarray, order: np.ndarray) -> np.ndarra
     return out
 
 
+def _joined(rows: DataFrame, small: DataFrame, key: str, share: float = 0.01) -> DataFrame:
+    """rows joined with a table of one row per key: keys with more than a share of all rows (fewer than 1 / share keys) by broadcast,
+    so that a hot key's rows stay where they are; the others by a shuffle."""
+    n = rows.groupBy(key).agg(F.count("*").alias("__n"))
+    bar = share * rows.count()
+    hot = F.broadcast(cut(small.join(n.where(F.col("__n") > bar).select(key), key)))
+    cold = rows.join(hot.select(key), key, "left_anti")
+    return rows.join(hot, key).unionByName(cold.join(small, key))
+
+
 def stratified_split(df: DataFrame, record_id: str = "seq_id", entity: str = "span_id", trace: str = "trace_id", label: str = "labels", spec: SplitSpec = SplitSpec()) -> DataFrame:
     """One row per record: seq_id, component, new_split, so that no component is divided and shares and labels are alike.
 
@@ -123,8 +140,9 @@ def stratified_split(df: DataFrame, record_id: str = "seq_id", entity: str = "sp
     comp = entity_components(df, entity, trace, spec.max_rounds)
     lab = F.when(F.col(label).isNull(), 2).when(F.col(label) == 1, 1).when(F.col(label) == 0, 0).otherwise(3)
     r = df.select(F.col(record_id).alias("seq_id"), F.col(entity).alias("entity"), lab.alias("lab"))
-    r = r.join(comp, "entity", "left").withColumn("component", F.coalesce(F.concat(F.lit("e:"), F.col("component")), F.concat(F.lit("r:"), F.col("seq_id").cast("string"))))
-    r = r.select("seq_id", "component", "lab")
+    named = _joined(r.where(F.col("entity").isNotNull()), comp, "entity").withColumn("component", F.concat(F.lit("e:"), F.col("component")))
+    own = r.where(F.col("entity").isNull()).withColumn("component", F.concat(F.lit("r:"), F.coalesce(F.col("seq_id").cast("string"), F.lit(""))))
+    r = cut(named.select("seq_id", "component", "lab").unionByName(own.select("seq_id", "component", "lab")))
     vec = cut(r.groupBy("component").agg(*[F.sum((F.col("lab") == j).cast("bigint")).alias(f"l{j}") for j in range(4)]).withColumn("n", sum((F.col(f"l{j}") for j in range(1, 4)), F.col("l0"))))
     labels, k = [f"l{j}" for j in range(4)], len(spec.names)
     tot = vec.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in labels], F.count("*").alias("groups")).first()
@@ -151,7 +169,10 @@ def stratified_split(df: DataFrame, record_id: str = "seq_id", entity: str = "sp
     small = small.groupBy("block").applyInPandas(stratify, "component string, s int")
     fixed = df.sparkSession.createDataFrame(pd.DataFrame({"component": large["component"].astype(str), "s": placed.astype("int32")}), "component string, s int")
     names = F.array(*[F.lit(x) for x in spec.names])
-    return r.join(small.unionByName(fixed), "component").select("seq_id", "component", F.get(names, F.col("s")).alias("new_split"))
+    # rows of large components meet a broadcast of fewer than 1 / large_share rows; no other component has more than that share
+    placed = r.join(F.broadcast(fixed.withColumnRenamed("s", "s0")), "component", "left")
+    rest_of = placed.where(F.col("s0").isNull()).drop("s0").join(small, "component")
+    return placed.where(F.col("s0").isNotNull()).withColumnRenamed("s0", "s").unionByName(rest_of).select("seq_id", "component", F.get(names, F.col("s")).alias("new_split"))
 
 
 def split_report(df: DataFrame, assigned: DataFrame, record_id: str = "seq_id", label: str = "labels") -> DataFrame:
