@@ -323,6 +323,17 @@ def test_mix(spark):
     assert mixing.mix(docs(spark, rows), t.limit(0))[0].count() == 0
 
 
+def test_every_language_is_raked(spark):
+    codes = ["en", "ENG", "en-US", "it", "ita", "nl_BE", "xx", "", None, "klingon", "1"]
+    df = docs(spark, [(i, "some words", "big", c) for i, c in enumerate(codes)])
+    got = {r.doc_id: r.l for r in df.select("doc_id", mixing.language(df["lang"]).alias("l")).collect()}
+    assert [got[i] for i in range(len(codes))] == ["en", "en", "en", "it", "it", "nl", "xx", "other", "other", "other", "other"]
+    t = spark.createDataFrame([("big", 1.0, 1)], TARGET)
+    assert {r.lang for r in mixing.mix(df, t)[0].collect()} == {"en", "it", "nl", "xx", "other"}
+    with pytest.raises(ValueError):
+        mixing.mix(df, t, spec=mixing.MixSpec(most_cells=3))
+
+
 def test_raking_meets_margins():
     import pandas as pd
 

@@ -28,8 +28,12 @@ from pyspark.sql import functions as F
 from timberline.llm.tokens import TOKENIZER_DIR, WORDS
 from timberline.runtime import cut
 
-#: Codes of the languages that are told apart; all others are one group.
-LANGUAGES = {"en": "en", "eng": "en", "de": "de", "deu": "de", "ger": "de", "fr": "fr", "fra": "fr", "fre": "fr", "es": "es", "spa": "es", "ru": "ru", "rus": "ru", "ja": "ja", "jpn": "ja"}
+#: Languages with a code of two letters by their codes of three, terminological and bibliographic.
+THREE_LETTERS = {
+    "ara": "ar", "ben": "bn", "bul": "bg", "cat": "ca", "ces": "cs", "cze": "cs", "dan": "da", "deu": "de", "ger": "de", "ell": "el", "gre": "el", "eng": "en", "est": "et", "fas": "fa", "per": "fa",
+    "fin": "fi", "fra": "fr", "fre": "fr", "heb": "he", "hin": "hi", "hrv": "hr", "hun": "hu", "ind": "id", "ita": "it", "jpn": "ja", "kor": "ko", "lav": "lv", "lit": "lt", "nld": "nl", "dut": "nl",
+    "nor": "no", "pol": "pl", "por": "pt", "ron": "ro", "rum": "ro", "rus": "ru", "slk": "sk", "slo": "sk", "slv": "sl", "spa": "es", "srp": "sr", "swe": "sv", "tha": "th", "tur": "tr", "ukr": "uk", "vie": "vi", "zho": "zh", "chi": "zh",
+}
 
 
 @dataclass(frozen=True)
@@ -40,12 +44,15 @@ class MixSpec:
     topic_rounds: int = 12
     rounds: int = 60
     block_docs: int = 20_000
+    most_cells: int = 100_000  # sources x languages x topics that are raked on the driver
     seed: str = "mix"
 
 
 def language(c: Column) -> Column:
+    """A language code without case and region, in two letters where there is such a code; 'other' for what is no code."""
     code = F.lower(F.regexp_extract(F.trim(c), r"^([A-Za-z]{2,3})(?:[-_].*)?$", 1))
-    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv]), code), F.lit("other"))
+    short = F.element_at(F.create_map(*[F.lit(x) for kv in THREE_LETTERS.items() for x in kv]), code)
+    return F.coalesce(short, F.nullif(code, F.lit("")), F.lit("other"))
 
 
 def word_counts(texts: list[str | None], dims: int) -> np.ndarray:
@@ -193,14 +200,17 @@ def mix(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str =
     report: per target source and source without a target: target_share, max_repeats, n_docs, tokens, drawn_docs,
     drawn_tokens, share reached, most_copies. Documents of sources without a target (or with null source, share or repeats)
     aren't drawn; targets without documents reach zero and the others take their place. Documents without tokens (null or
-    empty text) have no size and aren't drawn. Repeated documents count each. Empty tables give an empty sample.
+    empty text) have no size and aren't drawn. Repeated documents count each. Empty tables give an empty sample. More than
+    `most_cells` combinations of source, language and topic raise ValueError.
     """
     m = cut(measured(docs, doc_id, text, source, lang, spec, tokenizer))
     t = targets.select(F.col("doc_source").alias("source"), F.col("target_share").cast("double").alias("target_share"), F.col("max_repeats").cast("int").alias("max_repeats"))
     t = t.where(F.col("source").isNotNull() & (F.col("target_share") > 0) & (F.col("max_repeats") > 0)).dropDuplicates(["source"])
     tp = t.toPandas()  # one row per target
     sized = m.where(F.col("tokens") > 0).join(F.broadcast(t.select("source")), "source")
-    cells = sized.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs")).toPandas()  # targets x languages x topics
+    cells = sized.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs")).limit(spec.most_cells + 1).toPandas()
+    if len(cells) > spec.most_cells:
+        raise ValueError(f"more than {spec.most_cells} combinations of source, language and topic")
     have = cells.groupby("source")["tokens"].sum()
     cap = (tp["source"].map(have).fillna(0) * tp["max_repeats"]).to_numpy(float)
     total = float(spec.total_tokens if spec.total_tokens is not None else cells["tokens"].sum())

@@ -83,7 +83,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_repetition(spark: SparkSession, d: str) -> DataFrame:
-    return repetition(read(spark, d, "documents"))
+    return repetition(read(spark, d, "documents")).select("doc_id", "n_words", "n_repeated", "share")
 
 
 QUERIES = {f.__name__: f for f in (p4_found, p4_report, p4_coverage, p4_classes, p4_members, p5_found, p5_classes, p5_split, p5_report, p6_found, p6_runs, p6_near, p8_ids, p9_sample, p9_shares, p10_found, p10_repetition)}
@@ -94,6 +94,14 @@ _RUNS = r"""
     f as (select *, case when says = lag(says) over w then 0 else 1 end as fresh from m window w as (partition by span_id order by ts, record_id)),
     g as (select *, sum(fresh) over (partition by span_id order by ts, record_id) as n from f)"""
 
+_REPEATED = r"""
+        with w as (select doc_id, regexp_extract_all(lower(text), '\p{L}+') as ws, len(regexp_extract_all(lower(text), '[\p{Hiragana}\p{Katakana}\p{Han}ー]')) as cjk from documents where text is not null),
+        c as (select doc_id, ws, 2 * cjk > length(array_to_string(ws, '')) as single from w where len(ws) > 0),
+        v as (select doc_id, case when single then string_split(array_to_string(ws, ''), '') else ws end as ws, case when single then 12 else 6 end as k from c),
+        g as (select doc_id, k, i, array_to_string(ws[i : i + k - 1], ' ') as g from (select *, unnest(range(1, len(ws) - k + 2)) as i from v)),
+        a as (select doc_id, k, i from (select *, row_number() over (partition by doc_id, g order by i) as n from g) where n > 1),
+        r as (select doc_id, count(distinct p) as r from (select doc_id, unnest(range(i, i + k)) as p from a) group by doc_id)"""
+
 _SPANS = r"""
         with recursive p as (select distinct span_id, lower(trim(span_id)) as name, case when regexp_matches(trace_id, '[\p{L}1-9]') and lower(trim(trace_id)) not in ('n/a', 'na', 'none', 'null', 'nil', 'nan', 'unknown', 'undefined', 'missing', 'empty', 'notrace', 'no trace', 'no-trace', 'no_trace') then trace_id end as t
             from log_sequences where span_id is not null),
@@ -107,14 +115,14 @@ ORACLE = {
     "p6_runs": _RUNS
     + """ select span_id, arg_min(record_id, (ts, record_id)) as first_id, arg_max(record_id, (ts, record_id)) as last_id, min(ts) as start_ts, max(ts) as end_ts,
         epoch_us(max(ts)) - epoch_us(min(ts)) as duration_us, count(*) as n_events from g group by span_id, n""",
-    "p10_found": r"""
-        with w as (select doc_id, regexp_extract_all(lower(text), '\p{L}+') as ws, len(regexp_extract_all(lower(text), '[\p{Hiragana}\p{Katakana}\p{Han}ー]')) as cjk from documents where text is not null),
-        c as (select doc_id, ws, 2 * cjk > length(array_to_string(ws, '')) as single from w where len(ws) > 0),
-        v as (select doc_id, case when single then string_split(array_to_string(ws, ''), '') else ws end as ws, case when single then 12 else 6 end as k from c),
-        g as (select doc_id, k, i, array_to_string(ws[i : i + k - 1], ' ') as g from (select *, unnest(range(1, len(ws) - k + 2)) as i from v)),
-        a as (select doc_id, k, i from (select *, row_number() over (partition by doc_id, g order by i) as n from g) where n > 1),
-        r as (select doc_id, count(distinct p) as r from (select doc_id, unnest(range(i, i + k)) as p from a) group by doc_id)
-        select doc_id from r join v using (doc_id) where 10 * r >= 3 * len(ws)""",
+    "p10_found": _REPEATED + " select doc_id from r join v using (doc_id) where 10 * r >= 3 * len(ws)",
+    "p4_coverage": r"""
+        with m as (select distinct seq_id, split_name, list_filter(regexp_split_to_array(lower(logline), '\s+'), lambda w: w <> '') as w from log_sequences where seq_id is not null and logline is not null and split_name in ('train', 'dev', 'test')),
+        g as (select seq_id, split_name, i, array_to_string(w[i : i + 7], ' ') as g from (select *, unnest(range(1, len(w) - 6)) as i from m)),
+        t as (select distinct g from g where split_name = 'train'),
+        c as (select seq_id, split_name, count(distinct p) as c from (select g.seq_id, g.split_name, unnest(range(i, i + 8)) as p from g join t using (g) where g.split_name <> 'train') group by all)
+        select seq_id, split_name, len(w) as n_words, coalesce(c, 0) as covered_words, case when len(w) > 0 then coalesce(c, 0) / len(w) else 0.0 end as share from m left join c using (seq_id, split_name) where split_name <> 'train'""",
+    "p10_repetition": _REPEATED + " select documents.doc_id, coalesce(len(ws), 0) as n_words, coalesce(r, 0) as n_repeated, coalesce(r, 0) / greatest(coalesce(len(ws), 0), 1) as share from documents left join v using (doc_id) left join r using (doc_id)",
     "p5_classes": _SPANS + " select distinct span_id, min(span_id) over (partition by c) as class_id from s",
     "p5_found": _SPANS + " select a.span_id as span_a, b.span_id as span_b from s a join s b on a.c = b.c and a.span_id < b.span_id",
 }
