@@ -390,9 +390,9 @@ def drain_templates(spark, d):
 
 @query()
 def drain_applied(spark, d):
-    """Templates fitted on the earlier lines, matched to all: null where they have none."""
+    """Templates fitted on the lines of normal records, matched to all: null where they have none."""
     r = records(spark, d)
-    templates = fit_templates(r.where("timestamp < timestamp '2024-02-01'"))
+    templates = fit_templates(r.where("labels = 0"))
     return match_templates(r, templates).select("_id", "parsed_logline")
 
 
@@ -572,9 +572,20 @@ def isolation_forest(spark, d):
     return detect.isolation_forest(_embeddings(spark, d))
 
 
-@query()
+@query(
+    """with e as (select vec_id, embedding::double[] as v from embeddings where embedding is not null),
+    m as (select a.vec_id as x, b.vec_id as y, list_distance(a.v, b.v) as d from e a join e b on a.vec_id <> b.vec_id),
+    f as (select x, y, d from (select *, row_number() over (partition by x order by d, y) as n from m) where n <= 8),
+    u as (select x, y, d from (select *, row_number() over (partition by x order by d, y) as n from (select * from m union all select vec_id, vec_id, 0.0 from e)) where n <= 8),
+    k as (select x, max(d) as kd from f group by x),
+    l as (select f.x, 1 / greatest(sum(greatest(f.d, k.kd)) / 8.0, 1e-10) as lrd from f join k on f.y = k.x group by f.x),
+    s as (select u.x, 1 / greatest(sum(greatest(u.d, k.kd)) / 8.0, 1e-10) as own from u join k on u.y = k.x group by u.x),
+    r as (select u.x, 1.1 - sum(l.lrd) / 8.0 / any_value(s.own) as raw from u join l on u.y = l.x join s on u.x = s.x group by u.x)
+    select x as _id, case when raw < 0 then -1 else 1 end as anom_score, round(raw, 6) as raw_score from r"""
+)
 def local_outlier_factor(spark, d):
-    return detect.local_outlier_factor(_embeddings(spark, d))
+    f = detect.local_outlier_factor(_embeddings(spark, d), n_neighbors=8, bar=1.1)
+    return f.select("_id", "anom_score", F.round("raw_score", 6).alias("raw_score"))
 
 
 @query(
