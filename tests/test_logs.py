@@ -308,6 +308,46 @@ def test_remembered_lines_change_nothing():
     assert one.known and {c.number: (c.template, c.size, c.used) for c in one.live.values()} == {c.number: (c.template, c.size, c.used) for c in two.live.values()}
 
 
+def test_trained_subwords(spark):
+    df = lines(spark, [f"disk{i % 3} is full on node{i % 5}" for i in range(60)] + [f"user{i} logged out" for i in range(20)] + [None, "* *"])
+    got = {r._id: r.vector for r in vectorize.subword_vectors(df, vector_size=16).collect()}
+    assert len(got[0]) == 5 * 16 and len(got[60]) == 3 * 16 and got[80] == [] == got[81]
+
+    def cosine(a, b):
+        return float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b))
+
+    word = lambda i, k: np.array(got[i][16 * k : 16 * (k + 1)])
+    assert cosine(word(0, 0), word(1, 0)) > cosine(word(0, 0), word(60, 1))  # disk0 and disk1 against logged
+    assert vectorize.subword_vectors(lines(spark, ["", None])).collect()[0].vector == []
+
+
+def test_smoothing_options(spark):
+    rows = [("a", T0 + timedelta(hours=i), 50 + 20 * (i % 4) + (400 if i == 50 else 0)) for i in range(60)]
+    df = spark.createDataFrame(rows, "k string, timestamp timestamp_ntz, counts bigint")
+    for opts in ({}, {"error": "mul"}, {"refit": True}):
+        s = detect.ets(df, ["k"], seasonal_periods=4, **opts)
+        assert [r.timestamp for r in s.where("anom_score > 0").collect()][:1] == [T0 + timedelta(hours=50)]
+    with pytest.raises(ValueError):
+        detect.ets(df, ["k"], error="none")
+
+
+def test_kmeans_takes_the_best_start(spark):
+    rng = np.random.default_rng(1)
+    df = spark.createDataFrame([(i, (rng.normal(size=2) / 10 + [i % 4, (i % 4) ** 2]).tolist()) for i in range(200)], "_id bigint, features array<double>")
+    got = {r._id: r.cluster_id for r in cluster.kmeans(df, n_clusters=4, n_init=4).collect()}
+    assert len({(i % 4, c) for i, c in got.items()}) == 4 == len(set(got.values()))
+
+
+def test_bytes_that_are_no_text_are_dropped(spark, tmp_path):
+    (tmp_path / "x.log").write_bytes(b"a b\xff\xfec\nd \xc3\xa9\n")
+    assert [(r.One, r.Two) for r in read_text(spark, str(tmp_path / "x.log"), "<One> <Two>").orderBy("_id").collect()] == [("a", "bc"), ("d", "é")]
+
+
+def test_csv_configuration(tmp_path):
+    (tmp_path / "c.csv").write_text("a,b\n1,x\n2,y\n")
+    assert read_config(str(tmp_path / "c.csv")) == [{"a": "1", "b": "x"}, {"a": "2", "b": "y"}]
+
+
 def test_tfidf_terms(spark):
     df = lines(spark, ["the disk is full", "disk full", "", None])
     term = lambda **k: {(r._id, r.term) for r in vectorize.tfidf(df, **k).collect()}

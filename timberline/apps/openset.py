@@ -18,6 +18,7 @@ from timberline.operators.splits import span_split, unsupervised_split
 from timberline.operators.vectorize import line_vocabulary, next_line_dataset
 from timberline.operators.windows import id_sessions, sliding_windows
 from timberline.record import ROW_ID, LogRecord
+from timberline.runtime import stage
 from timberline.sources.readers import load
 
 
@@ -85,16 +86,23 @@ class OpenSetWorkflow:
             w = w.where("split <> 'test'").select("span_id", "logline", "counts", "labels", "split").unionByName(test.select("span_id", "logline", "counts", "labels", "split"))
         return w
 
-    def execute(self, spark: SparkSession | None = None, record: LogRecord | None = None, labels: DataFrame | None = None, k: int = 10) -> DataFrame:
-        """Session metrics of the next-line predictor on sliding windows, best first."""
+    def kept(self, name: str, build, reuse: bool) -> DataFrame:
+        """A stage as a table below output_dir, if there is one: read if it is whole, else built and written."""
+        if not self.config.output_dir:
+            return build()
+        return stage(SparkSession.getActiveSession(), f"{self.config.output_dir}/{name}", build, reuse)
+
+    def execute(self, spark: SparkSession | None = None, record: LogRecord | None = None, labels: DataFrame | None = None, k: int = 10, reuse: bool = True) -> DataFrame:
+        """Session metrics of the next-line predictor on sliding windows, best first. With output_dir the prepared records, the
+        windows, the vocabulary and the data sets are kept there and, unless `reuse` is off, read instead of built."""
         c = self.config
         p = c.open_set_partitioner_config or OpenSetPartitionerConfig(sliding_window=10, session_window=False)
-        df = self.prepare(spark, record, labels)
-        w = self.windows(df) if not p.session_window else None
-        if w is None:
+        if p.session_window:
             raise ValueError("the next-line predictor needs sliding windows (session_window false)")
-        vocab = line_vocabulary(df)
-        data = {s: next_line_dataset(w.where(F.col("split") == s), vocab, max_token_len=p.sliding_window) for s in ("train", "test")}
+        df = self.kept("prepared", lambda: self.prepare(spark, record, labels), reuse)
+        w = self.kept("windows", lambda: self.windows(df), reuse)
+        vocab = self.kept("vocabulary", lambda: line_vocabulary(df), reuse)
+        data = {s: self.kept(s, lambda s=s: next_line_dataset(w.where(F.col("split") == s), vocab, max_token_len=p.sliding_window), reuse) for s in ("train", "test")}
         return best_over_k(predict_next(data["train"], data["test"], k), k)
 
 

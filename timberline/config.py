@@ -154,10 +154,15 @@ class OpenSetADWorkflowConfig(WorkFlowConfig):
     train_test_shuffle: bool = False
 
 
-def read_config(path: str) -> dict:
-    """A JSON or YAML file as a dict; other suffixes raise ValueError (pickles are not read)."""
+def read_config(path: str) -> dict | list[dict]:
+    """A JSON or YAML file as a dict, a CSV file with a header as a list of dicts; other suffixes raise ValueError (pickles are not read)."""
+    import csv
     import json
 
+    if path.endswith(".csv"):
+        with open(path, encoding="utf-8", newline="") as f:
+            return list(csv.DictReader(f))
+
     if path.endswith(".json"):
         with open(path, encoding="utf-8") as f:
             return json.load(f)
@@ -168,7 +173,7 @@ def read_config(path: str) -> dict:
             raise ImportError("reading YAML needs the package yaml") from e
         with open(path, encoding="utf-8") as f:
             return yaml.safe_load(f)
-    raise ValueError(f"not a JSON or YAML file: {path}")
+    raise ValueError(f"not a JSON, YAML or CSV file: {path}")
 
 
 def parameter_info(kind: type) -> dict[str, tuple[str, object]]:

@@ -19,13 +19,15 @@ def _checked(df: DataFrame, vector: str) -> DataFrame:
     return d
 
 
-def kmeans(df: DataFrame, vector: str = "features", row_id: str = "_id", n_clusters: int = 8, max_iter: int = 300, tol: float = 1e-4, random_state: int = 7) -> DataFrame:
-    """Row id and `cluster_id` (text), k-means|| start, fixed seed. Rows with null vector have no cluster; no rows: ValueError."""
+def kmeans(df: DataFrame, vector: str = "features", row_id: str = "_id", n_clusters: int = 8, max_iter: int = 300, tol: float = 1e-4, random_state: int = 7, n_init: int = 1) -> DataFrame:
+    """Row id and `cluster_id` (text), k-means|| start, fixed seed; of `n_init` starts the one of least cost (ties: the first). Rows with
+    null vector have no cluster; no rows: ValueError."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    d = _checked(df, vector).select(row_id, array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
-    model = KMeans(k=n_clusters, maxIter=max_iter, tol=tol, seed=random_state).fit(d)
+    d = cut(_checked(df, vector).select(row_id, array_to_vector(F.col(vector).cast("array<double>")).alias("features")))
+    models = [KMeans(k=n_clusters, maxIter=max_iter, tol=tol, seed=random_state + i).fit(d) for i in range(max(1, n_init))]
+    model = min(models, key=lambda m: m.summary.trainingCost)
     return model.transform(d).select(row_id, F.col("prediction").cast("string").alias("cluster_id"))
 
 

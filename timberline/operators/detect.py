@@ -273,8 +273,9 @@ def dynamic_baseline(df: DataFrame, keys: list[str], ts: str = "timestamp", valu
     return d.select(*keys, ts, value, F.when(ok, z).otherwise(0.0).alias("anom_score"), F.col("__train").alias("trainval"))
 
 
-def _holt(y: np.ndarray, period: int | None, damped: bool, a: float, b: float, phi: float, g: float) -> np.ndarray:
-    """One-step errors of additive smoothing with (damped) trend and, with a period, additive season."""
+def _holt(y: np.ndarray, period: int | None, damped: bool, a: float, b: float, phi: float, g: float, relative: bool = False) -> np.ndarray:
+    """One-step errors of additive smoothing with (damped) trend and, with a period, additive season; relative ones are shares of
+    the forecast (of one at least)."""
     level, slope = y[0], 0.0
     season = np.zeros(period) if period else None
     if period and len(y) >= 2 * period:
@@ -285,7 +286,7 @@ def _holt(y: np.ndarray, period: int | None, damped: bool, a: float, b: float, p
         s = season[t % period] if period else 0.0
         base = level + phi * slope
         e = v - base - s
-        err[t] = e
+        err[t] = e / max(abs(base + s), 1.0) if relative else e
         new = base + a * e
         slope = phi * slope + b * (new - level - phi * slope)
         level = new
@@ -294,12 +295,15 @@ def _holt(y: np.ndarray, period: int | None, damped: bool, a: float, b: float, p
     return err
 
 
-def ets(df: DataFrame, keys: list[str], ts: str = "timestamp", value: str = "counts", trend: str | None = "add", damped_trend: bool = True, seasonal: str | None = "add", seasonal_periods: int | None = None, train_fraction: float = 0.7, bar: float = 3.0) -> DataFrame:
+def ets(df: DataFrame, keys: list[str], ts: str = "timestamp", value: str = "counts", trend: str | None = "add", damped_trend: bool = True, seasonal: str | None = "add", seasonal_periods: int | None = None, train_fraction: float = 0.7, bar: float = 3.0, error: str = "add", refit: bool = False) -> DataFrame:
     """keys, timestamp, value, anom_score, trainval: residual z of damped additive smoothing, zero below `bar`.
 
-    ETS-like: parameters by a grid on the training errors. Series are counters per time bucket, so one series, which a task
+    ETS-like: the weights of level, trend, damping and season by a grid on the training errors, which are differences ('add') or
+    shares of the forecast ('mul'); with refit the weights are chosen again from all readings before the test readings are scored. Series are counters per time bucket, so one series, which a task
     holds, is bounded by its time range. Constant series and those of fewer than ten readings score 0; so do training rows.
     """
+    if error not in ("add", "mul"):
+        raise ValueError(f"no error type {error!r}; there are add and mul")
     d = df.where(F.col(ts).isNotNull() & F.col(value).isNotNull()).select(*keys, ts, value)
     schema = ", ".join(f"{n} {t}" for n, t in d.dtypes) + ", anom_score double, trainval boolean"
 
@@ -310,9 +314,11 @@ def ets(df: DataFrame, keys: list[str], ts: str = "timestamp", value: str = "cou
         score = np.zeros(n)
         if n >= MIN_SERIES and cut >= 2 and np.ptp(y) > 0:
             period = seasonal_periods if seasonal else None
-            grid = [(a, b, p, 0.1) for a in (0.1, 0.3, 0.5, 0.8) for b in ((0.01, 0.1) if trend else (0.0,)) for p in ((0.8, 0.98) if damped_trend else (1.0,))]
-            best = min(grid, key=lambda q: float((_holt(y[:cut], period, damped_trend, *q)[1:] ** 2).sum()))
-            err = _holt(y, period, damped_trend, *best)
+            seasons = (0.05, 0.1, 0.3) if period else (0.0,)
+            grid = [(a, b, p, g) for a in (0.1, 0.3, 0.5, 0.8) for b in ((0.01, 0.1) if trend else (0.0,)) for p in ((0.8, 0.98) if damped_trend else (1.0,)) for g in seasons]
+            fitted = y if refit else y[:cut]
+            best = min(grid, key=lambda q: float((_holt(fitted, period, damped_trend, *q, error == "mul")[1:] ** 2).sum()))
+            err = _holt(y, period, damped_trend, *best, error == "mul")
             sd = err[1:cut].std()
             z = (err - err[1:cut].mean()) / (sd if sd > 1e-9 else 1.0)
             score = np.where(np.abs(z) >= bar, z, 0.0)

@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from zlib import crc32
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from timberline.functions.text import first_word, java_regex, pad, plain_tokens
 from timberline.operators.encode import value_ids
+from timberline.runtime import cut
 
 PAD, OOV = "<pad>", "<oov>"
 SPECIAL = ("[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]")
@@ -85,24 +81,36 @@ def word2vec(df: DataFrame, text: str = "logline", row_id: str = "_id", max_toke
     return _flattened(d, F.col("toks"), model.getVectors().select("word", vector_to_array("vector").alias("vec")), row_id, max_token_len)
 
 
-def _subword_vector(word: str, size: int, lo: int = 3, hi: int = 6) -> np.ndarray:
-    w = f"<{word}>"
-    grams = {w[i : i + n] for n in range(lo, hi + 1) for i in range(max(1, len(w) - n + 1))}
-    return np.mean([np.random.default_rng(crc32(g.encode())).uniform(-1, 1, size) for g in sorted(grams)], axis=0)
+def _subwords(word: Column, least: int, most: int) -> Column:
+    """A word in angle brackets, and its character n-grams."""
+    w = F.concat(F.lit("<"), word, F.lit(">"))
+    of = lambda k: F.when(F.length(w) > k, F.transform(F.sequence(F.lit(1), F.length(w) - (k - 1)), lambda i: F.substring(w, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(F.array(w), *[of(k) for k in range(least, most + 1)]))
+
 
+def subword_vectors(df: DataFrame, text: str = "logline", row_id: str = "_id", vector_size: int = 100, max_token_len: int = 100, min_n: int = 3, max_n: int = 6, window: int = 5, epochs: int = 5, seed: int = 7) -> DataFrame:
+    """Row id and `vector`: trained subword embeddings of the line's first tokens, concatenated.
+
+    Skip-grams over the words of the distinct lines, each together with its character n-grams, so that a word and its parts are
+    trained to tell the words around them; a word's vector is the mean of its own and its n-grams'. Words that share
+    n-grams are near each other. Wildcards are skipped; a line without words has an empty vector.
+    """
+    from pyspark.ml.feature import Word2Vec
+    from pyspark.ml.functions import vector_to_array
 
-def subword_vectors(df: DataFrame, text: str = "logline", row_id: str = "_id", vector_size: int = 100, max_token_len: int = 100) -> DataFrame:
-    """Row id and `vector` from character n-grams, each with a fixed pseudo-random direction: words that share n-grams are near
-    each other. It stands in for trained subword embeddings, for which no library is here; nothing is trained."""
     toks = F.filter(F.split(F.lower(F.trim(F.coalesce(F.col(text), F.lit("")))), r"\s+"), lambda t: (t != "") & (t != "*"))
     d = df.select(row_id, toks.alias("toks"))
     words = d.select(F.explode(F.slice("toks", 1, max_token_len)).alias("word")).distinct()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"word": b["word"], "vec": [_subword_vector(w, vector_size) for w in b["word"]]})
-
-    return _flattened(d, F.col("toks"), words.mapInPandas(run, "word string, vec array<double>"), row_id, max_token_len)
+    units = words.select("word", F.explode(_subwords(F.col("word"), min_n, max_n)).alias("unit"))
+    lines = cut(d.where(F.size("toks") > 0).select("toks").distinct().select(F.flatten(F.transform("toks", lambda w: _subwords(w, min_n, max_n))).alias("units")))
+    if lines.isEmpty():
+        return df.select(row_id, F.array().cast("array<double>").alias("vector"))
+    # a window of words is about so many units
+    per_word = lines.agg(F.avg(F.size("units"))).first()[0] / max(1.0, d.where(F.size("toks") > 0).agg(F.avg(F.size("toks"))).first()[0])
+    model = Word2Vec(vectorSize=vector_size, windowSize=max(1, int(window * per_word)), minCount=1, maxIter=epochs, seed=seed, inputCol="units", outputCol="v").fit(lines)
+    vectors = model.getVectors().select(F.col("word").alias("unit"), vector_to_array("vector").alias("x"))
+    mean = units.join(vectors, "unit").groupBy("word").agg(F.array(*[F.avg(F.get("x", F.lit(i))) for i in range(vector_size)]).alias("vec"))
+    return _flattened(d, F.col("toks"), mean, row_id, max_token_len)
 
 
 def line_vocabulary(df: DataFrame, text: str = "logline") -> DataFrame:

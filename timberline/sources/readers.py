@@ -21,10 +21,11 @@ def _numbered(df: DataFrame) -> DataFrame:
 def read_text(spark: SparkSession, path: str, log_format: str, numbered: bool = True) -> DataFrame:
     """Lines that match the format, one column per field (all text); others are left out. Lines are stripped first.
 
-    Bytes that are no UTF-8 become replacement characters. _id counts the kept lines.
+    Bytes that are no UTF-8 are dropped. _id counts the kept lines.
     """
     pattern, names = line_pattern(log_format)
-    line = F.regexp_replace("value", r"^\s+|\s+$", "")
+    readable = F.when(F.is_valid_utf8("value"), F.col("value")).otherwise(F.regexp_replace(F.make_valid_utf8("value"), "\ufffd", ""))
+    line = F.regexp_replace(readable, r"^\s+|\s+$", "")
     d = spark.read.text(path).withColumn("value", line).where(F.col("value").rlike(pattern))
     d = _numbered(d) if numbered else d
     return d.select(*([ROW_ID] if numbered else []), *[F.regexp_extract("value", pattern, i + 1).alias(n) for i, n in enumerate(names)])
