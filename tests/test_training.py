@@ -119,6 +119,12 @@ def test_entries_edge_cases(spark):
     assert log_entries(df.limit(0), lay).count() == 0
 
 
+def test_groups_in_a_layout_capture_nothing(spark):
+    lay = [compile_layout("g", r"(at|on) <Time> \\(<Component>\\) <Content>", "%H:%M")]
+    df = spark.createDataFrame([(1, "f", 1, "on 10:20 (core) hello")], "line_id bigint, file_name string, line_no bigint, raw_text string")
+    assert [(r.time, r.component, r.message) for r in log_entries(df, lay).collect()] == [("10:20", "core", "hello")]
+
+
 def test_layouts_are_found_in_the_lines(spark):
     known = [compile_layout("a", "<Date> <Time> - <Component> - <Level> - <Content>", "%Y-%m-%d %H:%M:%S,%f")]
     lines = []
@@ -143,7 +149,7 @@ def test_layouts_are_found_in_the_lines(spark):
     assert find_layouts(df.limit(0), known) == []
 
 
-@settings(max_examples=25, deadline=None)
+@settings(max_examples=6, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 1), st.integers(0, 25), st.booleans()), max_size=30), st.integers(1, 7))
 def test_entries_do_not_depend_on_blocks(spark, rows, block):
     lay = [compile_layout("a", "<Time> <Component>: <Content>", "%H:%M")]

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from timberline.runtime import cut
@@ -38,24 +38,51 @@ def _find(p: np.ndarray, i: int) -> int:
     return i
 
 
+MOST_BLOCKS = 100_000  # of which two numbers each reach the driver, and go from there to all tasks
+
+
+def _along_the_widest(df: DataFrame, vector: str) -> Column:
+    """The place of a row's vector along the direction of greatest variance. A unit direction: places differ by no more than
+    vectors do."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector
+
+    pc = PCA(k=1, inputCol="f", outputCol="o").fit(df.select(array_to_vector(vector).alias("f"))).pc.toArray()[:, 0]
+    pc = pc / max(float(np.linalg.norm(pc)), 1e-300)
+    unit = F.array(*[F.lit(float(c)) for c in pc])
+    return F.aggregate(F.zip_with(vector, unit, lambda a, b: a * b), F.lit(0.0), lambda s, a: s + a)
+
+
 def dbscan(df: DataFrame, vector: str = "features", row_id: str = "_id", eps: float = 0.3, min_samples: int = 10, block: int = 2000, max_rounds: int = 50) -> DataFrame:
     """Row id and `cluster_id` (text): '-1' for noise, else the number of the cluster's least distinct vector.
 
-    Equal vectors are one point with a weight. The points meet in pairs of blocks (a bounded number each), which count neighbours;
-    core points of a pair of blocks are united within their task, which emits one edge per point, not per pair; the edges'
-    components are the clusters. A border point joins the cluster with the least number within reach. The work grows with the
-    square of the number of distinct vectors, its memory doesn't. Rows with null vector have no cluster; no rows: ValueError.
+    Equal vectors are one point with a weight. Points are cut into blocks along the direction in which they spread most, and meet in
+    pairs of blocks (a bounded number each) that lie within eps of each other there; the pairs count neighbours; core points of a
+    pair of blocks are united within their task, which emits one edge per point, not per pair; the edges' components are the
+    clusters. A border point joins the cluster with the least number within reach. Where points lie within eps of most others
+    along that direction the work grows with the square of the number of distinct vectors; its memory doesn't. More than
+    MOST_BLOCKS blocks raise ValueError (choose larger ones). Rows with null vector have no cluster; no rows: ValueError.
     """
     d = _checked(df, vector).select(row_id, F.col(vector).cast("array<double>").alias("v"))
     from timberline.operators.positions import with_position
 
-    pts = cut(with_position(d.groupBy("v").agg(F.count("*").cast("bigint").alias("w")), ["v"], "p").withColumn("b", F.floor(F.col("p") / block).cast("int")))
-    blocks = int(pts.agg(F.max("b")).first()[0]) + 1
+    pts = with_position(d.groupBy("v").agg(F.count("*").cast("bigint").alias("w")), ["v"], "p")
+    pts = pts.withColumn("x", _along_the_widest(pts, "v") if pts.count() > block else F.lit(0.0))
+    pts = cut(with_position(pts, ["x", "p"], "r").withColumn("b", F.floor(F.col("r") / block).cast("int")).drop("r"))
+    # two numbers a block; blocks follow each other in x, so that those within reach of one are neighbours in number
+    ends = pts.groupBy("b").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy("b").limit(MOST_BLOCKS + 1).toPandas()
+    if len(ends) > MOST_BLOCKS:
+        raise ValueError(f"more than {MOST_BLOCKS} blocks of {block} points")
+    reach_ = float(np.sqrt(eps * eps + 1e-9)) + 1e-6 * max(1.0, float(ends[["lo", "hi"]].abs().to_numpy().max()))
+    first = np.searchsorted(ends["hi"].to_numpy(), ends["lo"].to_numpy() - reach_, "left")
+    last = np.searchsorted(ends["lo"].to_numpy(), ends["hi"].to_numpy() + reach_, "right") - 1
+    met = df.sparkSession.createDataFrame(pd.DataFrame({"b": ends["b"].astype("int32"), "first": first.astype("int32"), "last": last.astype("int32")}), "b int, first int, last int")
 
     def pairs(x: DataFrame) -> DataFrame:
         # each block goes to the pairs it is part of
-        i = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-        return x.withColumn("o", i).withColumn("lo", F.least("b", "o")).withColumn("hi", F.greatest("b", "o"))
+        x = x.join(F.broadcast(met), "b").drop("x")
+        i = F.explode(F.sequence("first", "last"))
+        return x.withColumn("o", i).withColumn("lo", F.least("b", "o")).withColumn("hi", F.greatest("b", "o")).drop("first", "last")
 
     def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         d2 = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T

@@ -83,7 +83,7 @@ def time_pattern(fmt: str) -> str:
 def compile_layout(name: str, log_format: str, datetime_format: str) -> Layout:
     """A reader setting as a header expression.
 
-    Literal text of the format is a regular expression (without groups), its spaces any white space. The parts of the datetime
+    Literal text of the format is a regular expression (its groups capture nothing), its spaces any white space. The parts of the datetime
     format, split at spaces, belong to the last time fields (one part each, or all to a single field); other time fields, numbers,
     levels and components are words; the content is the rest of the line, which may be empty. Groups hold the bare value:
     padding, brackets and colour codes of a level or component stay outside.
@@ -99,7 +99,7 @@ def compile_layout(name: str, log_format: str, datetime_format: str) -> Layout:
     out, i = [], 0
     for k, (f, text) in enumerate(parts):
         if not f:
-            out.append(text)
+            out.append(re.sub(r"(?<!\\)\((?!\?)", "(?:", text))
             continue
         f, last = f.lower(), k == len(parts) - 1
         if i in spec:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from timberline.apps.anomaly import LogAnomalies
 from timberline.apps.clustering import LogClusters
 from timberline.apps.openset import OpenSetWorkflow
 from timberline.apps.summarize import LogSummary
-from timberline.config import AnomalyDetectionConfig, ClusteringConfig, FeatureExtractorConfig, LogParserConfig, OpenSetADWorkflowConfig, OpenSetPartitionerConfig, PreprocessorConfig, VectorizerConfig, WorkFlowConfig
+from timberline.config import AnomalyDetectionConfig, ClusteringConfig, DataLoaderConfig, FeatureExtractorConfig, LogParserConfig, OpenSetADWorkflowConfig, OpenSetPartitionerConfig, PreprocessorConfig, VectorizerConfig, WorkFlowConfig
 from timberline.functions import arrays as A
 from timberline.functions import text as T
 from timberline.operators import cluster, counters, detect, drill, encode, evaluate, splits, vectorize, windows
@@ -20,7 +21,9 @@ from timberline.parsing.ael import ael
 from timberline.parsing.drain import drain, fit_templates, match_templates
 from timberline.parsing.iplom import iplom
 from timberline.record import LogRecord
-from timberline.runtime import read
+from timberline.runtime import checkpoint_dir, read
+from timberline.sources.readers import load
+from timberline.streaming.sessions import stream_counts, window_sessions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -530,6 +533,67 @@ def next_line_dataset(spark, d):
     return vectorize.next_line_dataset(w, vectorize.line_vocabulary(r, "component"), max_token_len=5).withColumn("features", F.array_join("features", ","))
 
 
+# --- sources, sinks, and the batch form of the streaming operators
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder."""
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(_R + " select _id, epoch_us(timestamp) as us, nullif(span_id, '') as span_id, nullif(component, '') as component, nullif(logline, '') as logline, labels from r where logline is not null")
+def csv_round_trip(spark, d):
+    """Records to CSV with their fields beside it, and back."""
+    r, path = record(spark, d).dropna(), _scratch(spark, "records") + ".csv"
+    r.save_to_csv(path)
+    back = LogRecord.load_from_csv(spark, path, ", ".join(f"`{n}` {t}" for n, t in r.df.dtypes))
+    return back.df.select("_id", F.unix_micros(F.col("timestamp").cast("timestamp")).alias("us"), "span_id", "component", "logline", "labels")
+
+
+@query(_R + " select _id, span_id, component, logline, labels from r")
+def record_round_trip(spark, d):
+    r, path = record(spark, d), _scratch(spark, "records")
+    r.save(path)
+    return LogRecord.load(spark, path).df.select("_id", "span_id", "component", "logline", "labels")
+
+
+@query(_R + " select logline, component, severity_text, count(*) as n from r where logline is not null and component is not null and severity_text is not null group by all")
+def json_reader(spark, d):
+    """JSON objects to records by `dimensions`."""
+    r, path = records(spark, d).where("logline is not null and component is not null and severity_text is not null"), _scratch(spark, "objects")
+    r.select("logline", "component", "severity_text").write.json(path)
+    config = DataLoaderConfig(filepath=path, log_type="json", reader_args={"lines": True}, dimensions={"body": ["logline"], "attributes": ["component", "severity_text"]})
+    return load(spark, config).df.groupBy("logline", "component", "severity_text").agg(F.count("*").alias("n"))
+
+
+@query(_R + r" select epoch_us(date_trunc('second', timestamp)) as us, severity_text, component, trim(logline, E' \t\n\r\f\x0B') as logline, count(*) as n from r where logline is not null and timestamp is not null and regexp_matches(severity_text, '^\S+$') and regexp_matches(component, '^\S+$') and regexp_matches(logline, '^\S([^\n\r]*\S)?$') group by all")
+def text_reader(spark, d):
+    """Lines of free text to records by a field notation and a time format."""
+    r = records(spark, d).where(F.col("logline").rlike(r"^\S([^\n\r]*\S)?$") & F.col("timestamp").isNotNull() & F.col("severity_text").rlike(r"^\S+$") & F.col("component").rlike(r"^\S+$"))
+    path = _scratch(spark, "lines")
+    r.select(F.concat_ws(" ", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss"), "severity_text", "component", "logline").alias("value")).write.text(path)
+    config = DataLoaderConfig(filepath=path, log_type="log", reader_args={"log_format": "<Date> <Time> <Level> <Component> <Content>"}, dimensions={"timestamp": ["Date", "Time"], "attributes": ["Level", "Component"], "body": ["Content"]}, infer_datetime=True, datetime_format="%Y-%m-%d %H:%M:%S")
+    g = load(spark, config).df.groupBy("timestamp", F.col("Level").alias("severity_text"), F.col("Component").alias("component"), "logline").agg(F.count("*").alias("n"))
+    return g.select(F.unix_micros(F.col("timestamp").cast("timestamp")).alias("us"), "severity_text", "component", "logline", "n")
+
+
+@query(_R + ", b as (select severity_text, unnest([epoch_us(timestamp) // 300000000, epoch_us(timestamp) // 300000000 - 1, epoch_us(timestamp) // 300000000 - 2]) * 300000000 as us from r where timestamp is not null) select us, severity_text, count(*) as counts from b group by all")
+def sliding_counts(spark, d):
+    c = stream_counts(records(spark, d).where("timestamp is not null"), "15min", ["severity_text"], slide="5min")
+    return c.select(F.unix_micros("timestamp").alias("us"), "severity_text", "counts")
+
+
+@query(
+    _R
+    + """, e as (select span_id, epoch_us(timestamp) as us, _id from r where span_id is not null and timestamp is not null),
+        f as (select *, case when us - lag(us) over w <= 1800000000 then 0 else 1 end as fresh from e window w as (partition by span_id order by us, _id)),
+        g as (select *, sum(fresh) over (partition by span_id order by us, _id) as n from f) select span_id, min(us) as start_us, max(us) as end_us, count(*) as n_events from g group by span_id, n"""
+)
+def gap_sessions(spark, d):
+    s = window_sessions(records(spark, d).where("span_id is not null and timestamp is not null"))
+    return s.select("span_id", F.unix_micros("start_ts").alias("start_us"), F.unix_micros("end_ts").alias("end_us"), "n_events")
+
+
 # --- clusters and detectors
 
 
@@ -714,7 +778,19 @@ def app_clusters(spark, d):
     return app.sizes()
 
 
-@query()
+@query(
+    _R
+    + ","
+    + _AEL
+    + f""", x as (select a._id, a.parsed_logline, r.component, r.timestamp, {_bucket(900, 'r.timestamp')} as bucket from a join r using (_id) where r.timestamp is not null and r.component is not null),
+    c as (select component, bucket, count(*) as counts from x group by all),
+    s as (select *, count(*) over (partition by component) as n, row_number() over (partition by component order by bucket) as k, hour(bucket) as slot from c),
+    t as (select *, k <= floor(n * 0.7) as trainval from s),
+    mm as (select *, avg(case when trainval then counts end) over u as ma, stddev_pop(case when trainval then counts end) over u as sa, avg(case when trainval then counts end) over v as mb, stddev_pop(case when trainval then counts end) over v as sb
+        from t window u as (partition by component, slot), v as (partition by component)),
+    z as (select component, bucket from mm where not trainval and n >= 10 and (counts - coalesce(ma, mb)) / (case when coalesce(sa, sb) > 0 then coalesce(sa, sb) else 1 end) >= 3)
+    select _id, timestamp, component, concat_ws('|', parsed_logline, component, strftime(bucket, '%Y-%m-%d %H:%M:%S')) as group_id from x join z using (component, bucket)"""
+)
 def app_counter_anomalies(spark, d):
     app = LogAnomalies(WorkFlowConfig(log_parser_config=LogParserConfig("ael"), feature_extractor_config=FeatureExtractorConfig(["parsed_logline", "component"], "15min"), anomaly_detection_config=AnomalyDetectionConfig("dbl", {"threshold": 3.0})))
     app.execute(record=record(spark, d))
@@ -728,7 +804,23 @@ def app_vector_anomalies(spark, d):
     return app.evaluation()
 
 
-@query()
+@query(
+    _R
+    + ","
+    + _AEL
+    + """, d as (select r._id, r.span_id, coalesce(r.labels, 0) as labels, r.labels as lab, a.parsed_logline as t from a join r using (_id)),
+    v as (select token, row_number() over (order by token) + 1 as id from (select distinct trim(t) as token from d)),
+    pp as (select span_id, max((labels = 1)::int) as pos from d where span_id is not null group by 1),
+    u as (select span_id, (('0x' || substr(md5(concat_ws('|', span_id, pos, 7)), 1, 8))::bigint % 1000000) / 1000000.0 as u from pp),
+    w as (select d.span_id, d._id, v.id, row_number() over o as k, count(*) over (partition by d.span_id) as n, lag(v.id) over o as last, max(labels) over (o rows between 5 preceding and current row) as lab
+        from d join v on trim(d.t) = v.token where d.span_id is not null window o as (partition by d.span_id order by d._id)),
+    s as (select w.*, u.u from w join u using (span_id) where k > 5 or (n <= 5 and k = n)),
+    q as (select last, id, rank from (select coalesce(last, 1) as last, id, row_number() over (partition by coalesce(last, 1) order by count(*) desc, id) as rank from s where u < 0.7 group by 1, 2) where rank <= 5),
+    ee as (select s.span_id, s.lab, q.rank from s left join q on coalesce(s.last, 1) = q.last and s.id = q.id where u >= 0.7 + 0.1),
+    g as (select k, span_id, max((coalesce(rank, 6) > k)::int) as p, max(lab) as y from ee, (select unnest([1, 2, 3, 4, 5]) as k) group by all),
+    c as (select k, sum((p = 1 and y = 1)::int)::bigint as tp, sum((p = 1 and y <> 1)::int)::bigint as fp, sum((p <> 1 and y = 1)::int)::bigint as fn, count(*) as n from g group by k)
+    select k, tp, fp, fn, n, case when 2 * tp + fp + fn > 0 then 2 * tp / (2 * tp + fp + fn) else 0.0 end as f1 from c"""
+)
 def app_next_line(spark, d):
     app = OpenSetWorkflow(OpenSetADWorkflowConfig(parse_logline=True, log_parser_config=LogParserConfig("ael"), open_set_partitioner_config=OpenSetPartitionerConfig(5, False)))
     return app.execute(record=record(spark, d), k=5)

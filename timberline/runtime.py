@@ -52,7 +52,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+    if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors reach")
     own = tempfile.mkdtemp(prefix="timberline-checkpoint-")
     spark.sparkContext.setCheckpointDir(own)

@@ -44,9 +44,9 @@ def read_delimited(spark: SparkSession, path: str, sep: str = ",", header: int |
     return _numbered(r.option("inferSchema", True).csv(path))
 
 
-def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """A whole document: an array of objects, or objects."""
-    return _numbered(spark.read.option("multiLine", True).json(path))
+def read_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Files that are one document each (an array of objects, or an object), or with `lines` have an object in every line."""
+    return _numbered(spark.read.option("multiLine", not lines).json(path))
 
 
 def to_record(df: DataFrame, config: DataLoaderConfig) -> LogRecord:
@@ -88,7 +88,7 @@ def load(spark: SparkSession, config: DataLoaderConfig) -> LogRecord:
         sep = args.get("sep", "\t" if config.log_type == "tsv" else ",")
         df = read_delimited(spark, config.filepath, sep, args.get("header", "infer"), args.get("names"), args.get("on_bad_lines", "error"), args.get("schema"))
     elif config.log_type == "json":
-        df = read_json(spark, config.filepath)
+        df = read_json(spark, config.filepath, bool(args.get("lines", False)))
     elif config.log_type in ("parquet", "orc"):
         df = _numbered(spark.read.format(config.log_type).load(config.filepath))
     else:

@@ -77,6 +77,6 @@ def stream_sessions(df: DataFrame, key: str = "span_id", ts: str = "ts", event_i
 
 
 def window_sessions(df: DataFrame, key: str = "span_id", ts: str = "timestamp", gap_seconds: int = 1800, delay: str = "1 hour") -> DataFrame:
-    """Sessions by Spark's session window; a gap of exactly the limit ends a session there."""
+    """Sessions by Spark's session window, of a stream or a table; a gap of exactly the limit doesn't end a session."""
     g = _timestamped(df, ts).withWatermark(ts, delay).groupBy(key, F.session_window(ts, f"{gap_seconds} seconds").alias("w")).agg(F.count("*").alias("n_events"), F.max(ts).alias("end_ts"))
     return g.select(key, F.col("w.start").alias("start_ts"), "end_ts", "n_events")
