@@ -73,18 +73,18 @@ class LogRecord:
         if not path.endswith(".csv"):
             raise ValueError(f"not a .csv path: {path}")
         flat = [F.to_json(c).alias(c) if t.startswith(("array", "map", "struct")) else F.col(c) for c, t in self.df.dtypes]
-        self.df.select(*flat).write.mode("overwrite").options(**CSV_TIMES).option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+        self.df.select(*flat).write.mode("overwrite").options(**CSV_AS_IS).option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
         _write_meta(self.df.sparkSession, path.removesuffix(".csv"), self.columns)
 
     @classmethod
     def load_from_csv(cls, spark: SparkSession, path: str, schema: str | None = None) -> "LogRecord":
-        r = spark.read.options(**CSV_TIMES).option("header", True).option("multiLine", True).option("escape", '"')
+        r = spark.read.options(**CSV_AS_IS).option("header", True).option("multiLine", True).option("escape", '"')
         df = r.schema(schema).csv(path) if schema else r.csv(path)
         return cls.from_dataframe(df, _read_meta(spark, path.removesuffix(".csv")))
 
 
-#: Times in CSV with all their digits.
-CSV_TIMES = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+#: Values in CSV as they are: times with all their digits, texts with the blanks around them.
+CSV_AS_IS = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 
 
 def _write_meta(spark: SparkSession, path: str, meta: dict) -> None:
