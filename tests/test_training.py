@@ -120,7 +120,7 @@ def test_entries_edge_cases(spark):
 
 
 def test_groups_in_a_layout_capture_nothing(spark):
-    lay = [compile_layout("g", r"(at|on) <Time> \\(<Component>\\) <Content>", "%H:%M")]
+    lay = [compile_layout("g", r"(at|on) <Time> \(<Component>\) <Content>", "%H:%M")]
     df = spark.createDataFrame([(1, "f", 1, "on 10:20 (core) hello")], "line_id bigint, file_name string, line_no bigint, raw_text string")
     assert [(r.time, r.component, r.message) for r in log_entries(df, lay).collect()] == [("10:20", "core", "hello")]
 
